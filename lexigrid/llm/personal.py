@@ -64,7 +64,7 @@ PARTICLE = r"(?:d[aeo]s?|del|de la|de los|von|van|di|du|der|zu)"
 PART = r"(?:\p{Lu}\p{Ll}+(?:['’]\p{Lu}\p{Ll}+)?|\p{Lu}['’]\p{Lu}\p{Ll}+)(?:-\p{Lu}\p{Ll}+)*"
 CAPS = r"\p{Lu}{2,}(?:['’-]\p{Lu}{2,})*"
 NAME = re.compile(
-    rf"(?<![\w'’.\-/@])(?:(?:{PART}(?:[  ]+{PARTICLE})?[  ]+){{1,3}}{PART}|{PART}(?:[  ]+(?:{PARTICLE}[  ]+)?{PART})?,[  ]+{PART}(?:[  ]{PART})?"
+    rf"(?<![\w.\-/@])(?<!\w['’])(?:(?:\p{{Lu}}\.[  ]?){{1,2}}(?:{PARTICLE}[  ]+)?{PART}(?:[  ]+{PART})?|(?:\p{{Lu}}\.[  ]?){{1,2}}{CAPS}(?:[  ]+{CAPS})?|(?:{PART}(?:[  ]+{PARTICLE})?[  ]+){{1,3}}{PART}|{PART}(?:[  ]+(?:{PARTICLE}[  ]+)?{PART})?,[  ]+{PART}(?:[  ]{PART})?"
     rf"|(?:{CAPS}(?:[  ]+{PARTICLE.upper()}|[  ]+{PARTICLE})?[  ]+){{1,3}}{CAPS}|{CAPS}(?:[  ]+{CAPS})?,[  ]+{CAPS})(?![\w_@]|\.\w)"
 )
 NAME_BEFORE = re.compile(
@@ -76,7 +76,7 @@ NAME_BEFORE = re.compile(
     re.I,
 )
 NAME_AFTER = re.compile(
-    r"^(?:['\"]? as \w*name| (?:approved the|approved|signed off|confirmed|reported|asked|told|wrote to|lo confirmó|lo aprobó|confirmou|aprovou|pediu|foi corrigido|hat (?:das|es|den|die)|bestätigte|genehmigte|freigegeben|is on leave|ist im urlaub|está de férias|está de vacaciones)\b)",
+    r"^(?:['\"]? as \w*name| (?:approved the|approved|signed off|confirmed|reported|asked|told|wrote to|lo confirmó|lo aprobó|confirmou|aprovou|pediu|foi corrigido|hat (?:das|es|den|die)|fragen|bestätigte|genehmigte|freigegeben|is on leave|ist im urlaub|está de férias|está de vacaciones)\b)",
     re.I,
 )
 # Words that never belong to a person's name; in texts about SQL files.
@@ -84,7 +84,7 @@ NOT_NAME = set(
     "select from where group order by having inner left right full outer cross join union insert update delete into values set case when then else end and or not null is in as on asc desc distinct top limit between like exists with "
     "the a an this that these those row rows version search totals why whoever use use release ledger checklist close import book address monthly granite harbor silver heron contact count sum min max avg build order table view index query "
     "street st road rd lane avenue close rua av avenida calle paseo der die das des mit seit zeilen version mai may january february march april june july august september october november december "
-    "el la los las un una o os as um uma de da do com por en na no não para que se call tel phone mob send ship escalate national insurance social security number whatsapp cpf ssn dni sql etl id".split()
+    "dear bitte gemeldet hi hello ask reported requested thanks regards saludos atenciosamente falei solicitado hablé cadastro owner author el la los las un una o os as um uma de da do com por en na no não para que se call tel phone mob send ship escalate national insurance social security number whatsapp cpf ssn dni sql etl id".split()
 )
 
 
@@ -200,6 +200,11 @@ def _name_at(text, start, end):
         words = words[:cut]
     while words and re.fullmatch(PARTICLE, text[words[-1][0] : words[-1][1]], re.I):
         words.pop()
+    while words and re.fullmatch(PARTICLE, text[words[0][0] : words[0][1]], re.I):
+        words.pop(0)
+    known = [text[a:b].lower().split("-")[0] in GIVEN for a, b in words]
+    if any(known[1:]) and not known[0] and "," not in text[start:end]:
+        words = words[known.index(True) :]
     if len(words) < 2:
         return
     start, end = words[0][0], words[-1][1]
