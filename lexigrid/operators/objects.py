@@ -332,8 +332,10 @@ def object_rows(df: DataFrame, objects: str = "objects") -> DataFrame:
 
     Aliases are not stored, and of names that differ only in ASCII case the smallest stays.
     """
-    kinds = [F.transform(F.col(f"{objects}.{k}"), lambda x, k=k: F.struct(F.lit(k).alias("object_type"), x.alias("object_name"))) for k in OBJECT_TYPES]
-    rows = df.select("project", F.col("id").alias("query_id"), F.explode(F.concat(*kinds)).alias("o")).select("project", "query_id", "o.*")
+    def typed(kind: str) -> Column:
+        return F.transform(F.col(f"{objects}.{kind}"), lambda x: F.struct(F.lit(kind).alias("object_type"), x.alias("object_name")))
+
+    rows = df.select("project", F.col("id").alias("query_id"), F.explode(F.concat(*map(typed, OBJECT_TYPES))).alias("o")).select("project", "query_id", "o.*")
     return dedupe(rows, ["project", "query_id"])
 
 

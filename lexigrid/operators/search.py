@@ -34,7 +34,11 @@ def parse_column(c: Column) -> dict[str, Column]:
     keys = F.regexp_extract_all(c, F.lit("(?U)" + FILTER), F.lit(1))
     values = F.regexp_extract_all(c, F.lit("(?U)" + FILTER), F.lit(2))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    out = {k: F.transform(F.filter(pairs, lambda p, k=k: p["k"] == k), lambda p: p["v"]) for k in ("table", "col", "tag", "date")}
+
+    def of(key: str) -> Column:
+        return F.transform(F.filter(pairs, lambda p: p["k"] == key), lambda p: p["v"])
+
+    out = {k: of(k) for k in ("table", "col", "tag", "date")}
     rest = F.regexp_replace(c, "(?U)" + FILTER, "")
     return out | {"free_text": F.regexp_replace(rest, r"(?U)^\s+|\s+$", "")}
 
@@ -167,7 +171,7 @@ def palette(results: DataFrame, text: str) -> DataFrame:
     filters, free = parse(text.strip())
     for key, column in (("table", "tables"), ("tag", "tags")):
         for v in filters[key]:
-            results = results.where(F.exists(column, lambda t, v=v: F.lower(t) == v.lower()))
+            results = results.where(_holds(column, v.lower()))
     for day in filters["date"]:
         bounds = day_bounds(day)
         if bounds:
@@ -178,6 +182,10 @@ def palette(results: DataFrame, text: str) -> DataFrame:
     return results
 
 
+def _holds(column: str, value: str) -> Column:
+    return F.exists(column, lambda t: F.lower(t) == value)
+
+
 def chip_search(kind: str, value: str) -> str:
     """Search text of a chip; an alias becomes free text."""
     return f"{'col' if kind == 'column' else kind}:{value}"

@@ -321,7 +321,7 @@ def t5_ranked_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["c7_multi_folder_search"] = f"""WITH {_CTE}{_match([["kiln"]])}
-SELECT folder, rel_path, round(rank, 6) AS rank FROM (SELECT project AS folder, rel_path, r.rank FROM ranked r JOIN q ON q.id = r.query_id AND q.project = r.project ORDER BY round(r.rank, 9), r.query_id LIMIT 50)"""
+SELECT folder, rel_path, round(rank, 6) AS rank FROM (SELECT q.project AS folder, q.rel_path, r.rank FROM ranked r JOIN q ON q.id = r.query_id AND q.project = r.project ORDER BY round(r.rank, 9), r.query_id LIMIT 50)"""
 
 
 @query()
