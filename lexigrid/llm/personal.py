@@ -185,8 +185,14 @@ def _address(text):
 
 
 def _name(text):
-    for m in NAME.finditer(text, overlapped=False):
-        yield from _name_at(text, m.start(), m.end())
+    at = 0
+    while m := NAME.search(text, at):
+        start, end = m.span()
+        # a name is read again behind common words that came before it
+        while (w := re.match(r"[^\s,]+", text[start:end])) and _plain(w[0]) and (again := NAME.search(text, start + w.end())) and again.start() < end:
+            start, end = again.span()
+        yield from _name_at(text, start, end)
+        at = end
 
 
 def _name_at(text, start, end):

@@ -191,7 +191,8 @@ class _Parser:
         return t == '"' or t != "" and (t[0].isalpha() or t[0] in "_#") and t not in self.reserved
 
     def name(self) -> None:
-        if not self.is_name(self.t[self.i]):
+        t = self.t[self.i]
+        if not (self.is_name(t) or self.lite and (t == "'" or t in _JOIN and t != "JOIN")):  # SQLite takes literals and join words as names
             self.fail()
         self.i += 1
 
@@ -391,14 +392,16 @@ class _Parser:
             self.i += 1
             self.unary()
             return False
+        first = self.i
         c = self.primary()
+        indexed = self.t[first] in ("(", "@") or self.t[self.i - 1] != ")" and self.t[first] not in ("0", "'", "CASE", "ARRAY")
         while True:
             if self.at("::") and self.pg:
                 self.i += 1
                 self.type()
             elif self.take("COLLATE"):
                 self.path()
-            elif self.pg and self.take("["):
+            elif self.pg and indexed and self.take("["):
                 self.value() if not self.at(":") else None
                 if self.take(":") and not self.at("]"):
                     self.value()
@@ -425,8 +428,6 @@ class _Parser:
             return False
         if t == "'":
             self.i += 1
-            while self.pg and self.at("'") and False:
-                self.i += 1
             return False
         if t == "NULL" or not self.ts and t in ("TRUE", "FALSE") and nxt != "." or t == "DEFAULT" and (self.ts or self.pg):
             self.i += 1
@@ -513,7 +514,7 @@ class _Parser:
             self.i += 1
             self.brackets()
             return False
-        if not self.is_name(t) and not (self.lite and t in ("LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "OUTER") and nxt in ("(", ".") and False):
+        if not self.is_name(t) and not (self.lite and t in _JOIN and t != "JOIN"):
             self.fail()
         self.i += 1
         while self.at("."):
@@ -574,7 +575,7 @@ class _Parser:
             self.need(")")
         if self.at("IGNORE", "RESPECT") and self.t[self.i + 1] == "NULLS":
             self.i += 2
-        if self.at("OVER") and (self.t[self.i + 1] == "(" or not self.ts or self.is_name(self.t[self.i + 1])):
+        if self.at("OVER") and (self.t[self.i + 1] == "(" or self.is_name(self.t[self.i + 1])):
             self.i += 1
             if self.take("("):
                 self.window()
