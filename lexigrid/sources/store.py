@@ -12,7 +12,7 @@ import shutil
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..schemas import SCHEMA_VERSION
 
@@ -44,7 +44,11 @@ class Store:
 
     def read(self, name: str) -> DataFrame | None:
         path = self.tables().get(name)
-        return None if path is None else self.spark.read.parquet(path)
+        if path is None:
+            return None
+        # the schema is kept, as a partitioned table without rows has no file to read it from
+        schema = T.StructType.fromJson(self.meta()["schemas"][name])
+        return self.spark.read.schema(schema).parquet(path)
 
     def write(self, tables: dict[str, DataFrame], **meta) -> None:
         """Write tables and make them current together; tables not named stay as they are."""
@@ -55,7 +59,8 @@ class Store:
             (out.partitionBy("project") if "project" in df.columns else out).parquet(path)
             new[name] = path
         old = self.meta()
-        now = old | meta | {"schema_version": SCHEMA_VERSION, "last_full_scan": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "tables": old.get("tables", {}) | new}
+        schemas = old.get("schemas", {}) | {name: df.schema.jsonValue() for name, df in tables.items()}
+        now = old | meta | {"schema_version": SCHEMA_VERSION, "last_full_scan": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "tables": old.get("tables", {}) | new, "schemas": schemas}
         temp = self._pointer() + f".{uuid.uuid4().hex[:8]}"
         with open(temp, "w") as f:
             json.dump(now, f, indent=2)
