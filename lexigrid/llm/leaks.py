@@ -3,7 +3,7 @@
 The test items form a BM25 inverted index with block maxima.  Every passage of
 every training document is a query: block-max WAND returns all items whose score
 reaches the item's own threshold, and an exact overlap check of successive words
-follows.  The threshold of an item is the least score that any passage holding
+follows.  A passage is a stretch of words that items have, cut to a bounded length.  The threshold of an item is the least score that any passage holding
 ``words`` successive words of it can have, so retrieval loses nothing; passages
 overlap by ``words`` - 1, so no run is cut.
 
@@ -48,6 +48,7 @@ class Index:
         self.ids = [i for i, _ in texts]
         self.grams: dict[int, list[int]] = {}
         self.postings: dict[str, tuple[list[int], list[float], list[float], float]] = {}
+        self.most: dict[str, float] = {}
         if not texts:
             return
         n, mean = len(texts), sum(len(w) for _, w in texts) / len(texts)
@@ -76,6 +77,7 @@ class Index:
             docs, imps = [d for d, _ in l], [s for _, s in l]
             blocks = [max(imps[p : p + BLOCK]) for p in range(0, len(imps), BLOCK)]
             self.postings[x] = docs, imps, blocks, max(imps)
+            self.most[x] = max(imps)
 
     def wand(self, terms: set[str]) -> list[int]:
         """Items with a score of at least 1 for these query terms, by block-max WAND."""
@@ -135,20 +137,30 @@ class Index:
         n, hit = self.words, set()
         if len(w) < n or not self.ids:
             return []
-        known = self.postings
-        step = PASSAGE - n + 1
-        for at in range(0, max(1, len(w) - n + 1), step):
-            part = w[at : at + PASSAGE]
-            found = self.wand({x for x in part if x in known})
-            if found:
-                hot = set(found) - hit
-                if hot:
-                    for p in range(len(part) - n + 1):
-                        own = self.grams.get(" ".join(part[p : p + n]))
-                        if own:
-                            hit.update(k for k in own if k in hot)
+        most, step = self.most, PASSAGE - n + 1
+        bound = [most.get(x, 0.0) for x in w]
+        bound.append(0.0)
+        start = 0
+        for end, b in enumerate(bound):
+            if b:
+                continue
+            # a passage ends at a word that no item has, as no run of an item can cross it
+            for at in range(start, end - n + 1, step):
+                stop = min(end, at + PASSAGE)
+                if sum(bound[at:stop]) >= 1:  # repeated words only raise this bound
+                    self._verify(w[at:stop], hit)
+            start = end + 1
         return sorted(self.ids[k] for k in hit)
 
+    def _verify(self, part: list[str], hit: set[int]) -> None:
+        """Adds the items that WAND retrieves for a passage and whose words it really holds in a row."""
+        hot = set(self.wand(set(part))) - hit
+        if hot:
+            for p in range(len(part) - self.words + 1):
+                own = self.grams.get(" ".join(part[p : p + self.words]))
+                if own:
+                    hit.update(k for k in own if k in hot)
+
 
 def leaked(docs: DataFrame, items: DataFrame, words: int = 12, max_items: int = 200_000, max_chars: int = 64_000_000) -> DataFrame:
     """doc_id, item_id: one row per document and item of which it holds ``words`` successive words.
