@@ -10,7 +10,7 @@ that ``score_postings`` reads by token range.
 
 Defined results: a term without a token is ignored; if no term has one the
 result is empty; a term with a double quote makes the search empty; null columns
-count as empty.
+count as empty; a file delivered twice counts once.
 """
 
 from __future__ import annotations
@@ -61,6 +61,8 @@ def score(docs: DataFrame, text: str, key: str = "query_id") -> DataFrame:
     arrays = docs.select("project", key, *[tokens(F.col(c)).alias(c) for c in COLUMNS])
     counts = [sum((instances(F.col(c), p) for c in COLUMNS[1:]), instances(F.col(COLUMNS[0]), p)).alias(f"f{k}") for k, p in enumerate(terms)]
     rows = arrays.select("project", key, sum((F.size(c) for c in COLUMNS[1:]), F.size(COLUMNS[0])).alias("d"), *counts)
+    # one narrow row per file, also if it was delivered twice; statistics and hits share this exchange, so texts are read once
+    rows = rows.dropDuplicates(["project", key])
     return _rank(rows, rows.groupBy("project").agg(*_statistics(len(terms))), len(terms), key)
 
 
@@ -84,13 +86,14 @@ def postings(docs: DataFrame, key: str = "query_id") -> DataFrame:
     Written as Parquet, a prefix reads only the row groups of its range.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(c)).alias("t")) for c in COLUMNS])).alias("c")
-    rows = docs.select("project", key, cells).select("project", key, "c.field", F.posexplode("c.t").alias("pos", "token"))
+    rows = docs.dropDuplicates(["project", key]).select("project", key, cells).select("project", key, "c.field", F.posexplode("c.t").alias("pos", "token"))
     return rows.repartitionByRange("token", key).sortWithinPartitions("token", key)
 
 
 def lengths(docs: DataFrame, key: str = "query_id") -> DataFrame:
     """project, key, d: number of tokens over the four columns."""
-    return docs.select("project", key, sum((F.size(tokens(F.col(c))) for c in COLUMNS[1:]), F.size(tokens(F.col(COLUMNS[0])))).alias("d"))
+    rows = docs.select("project", key, sum((F.size(tokens(F.col(c))) for c in COLUMNS[1:]), F.size(tokens(F.col(COLUMNS[0])))).alias("d"))
+    return rows.dropDuplicates(["project", key])
 
 
 def score_postings(index: DataFrame, sizes: DataFrame, text: str, key: str = "query_id") -> DataFrame:

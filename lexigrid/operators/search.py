@@ -64,7 +64,7 @@ class Catalog:
 
     queries: project, id, rel_path, title, description, body, file_mtime, updated_at, one row per id.
     links: query_id, tag.  objects: query_id, object_type, object_name, object_key.
-    favorites: project, rel_path.  fts: project, query_id and the four text columns.
+    favorites: project, rel_path.  fts: project, query_id and the four text columns; rows may repeat.
     """
 
     queries: DataFrame
@@ -151,7 +151,7 @@ def search(cat: Catalog, text: str, limit: int | None = None, sort: str | None =
         rows = rows.orderBy(*order).limit(limit)
     if free:
         bodies = cat.fts.select("project", F.col("query_id").alias("id"), "body")
-        rows = rows.join(bodies, ["project", "id"]).withColumn("snippet", fts.snippets(F.col("body"), free)).drop("body")
+        rows = rows.join(bodies, ["project", "id"]).withColumn("snippet", fts.snippets(F.col("body"), free)).drop("body").dropDuplicates(["project", "id"])
     else:
         rows = rows.withColumn("snippet", F.lit(""))
     out = dress(cat, rows)

@@ -11,6 +11,7 @@ from ..sources.files import parsed
 from ..sources.tables import table
 from ..streaming import watch
 from . import catalog as cat
+from .spread import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,15 +79,15 @@ def s14_subfolders(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def x1_extract_objects(spark: SparkSession, d: str) -> DataFrame:
     """Names in each body and their text for the full-text index."""
-    rows = cat.queries(spark, d).select("id", extracted("body").alias("o"))
+    rows = spread(table(spark, d, "queries").select("id", "body")).select("id", extracted("body").alias("o"))
     one = [F.array_join(f"o.{k}", " ").alias(k + "s") for k in ("table", "column", "alias")]
-    return rows.select("id", *one, objects_text(F.col("o")).alias("objects_text"))
+    return rows.select("id", *one, objects_text(F.col("o")).alias("objects_text")).dropDuplicates(["id"])
 
 
 @query()
 def x_object_rows(spark: SparkSession, d: str) -> DataFrame:
     """X1 with I8: rows of the object table from the bodies."""
-    return object_rows(cat.queries(spark, d).select("project", "id", extracted("body").alias("objects")))
+    return object_rows(spread(table(spark, d, "queries").select("project", "id", "body")).select("project", "id", extracted("body").alias("objects")))
 
 
 # -- index maintenance ----------------------------------------------------------------
@@ -141,7 +142,7 @@ def i8_stored_objects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT query_id, objects FROM ftsrows")
 def i9_fts_objects(spark: SparkSession, d: str) -> DataFrame:
-    return cat.fts(spark, d).select("query_id", "objects")
+    return cat.fts(spark, d).select("query_id", "objects").distinct()
 
 
 # -- search strings ---------------------------------------------------------------------
