@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..plans.spread import spread
+
 SALTS = 16
 FIELD, ITEM = "\x1e", "\x1f"
 _SPACE = re.compile("[\\s﻿]+")
@@ -151,24 +154,42 @@ def _same(a, b):
 
 
 def copy_classes(df: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
-    """id, class, keep_id, copies: one row per id that has a class of two ids or more.
+    """id, class, keep_id: one row per id that has a class of two ids or more.
 
-    A hot class costs one row per task before the first shuffle.  The way back
-    from class to ids is a join salted by id, so no task holds a whole class.
+    Bodies are read once into (id, fingerprint, digest of the form), which is
+    checkpointed.  Only fingerprints with several distinct forms are read again:
+    one id of each such form meets its representative.  A hot class costs one
+    row per task before the first shuffle, and the way back from class to ids is
+    a join salted by id, so no task holds a whole class.
     """
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), _formed(F.col(body).cast("string")).alias("f"))
-    rows = rows.select("id", "f.fp", "f.form").where(F.col("fp").isNotNull())
-    forms = rows.groupBy("fp", "form").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    best = forms.groupBy("fp").agg(F.min(F.struct("first", "form")).alias("best"), F.count("*").alias("forms"), F.min("first").alias("lo"), F.max("last").alias("hi"))
-    best = best.where("lo < hi")
-    # only distinct forms meet their representative
-    checked = forms.join(best.select("fp", F.col("best.form").alias("rep")), "fp")
-    checked = checked.select("fp", F.xxhash64("form").alias("h"), F.md5("form").alias("m"), "first", "last", F.when(_same("form", "rep"), F.lit("")).otherwise(F.md5(_sorted("form"))).alias("part"))
-    keep = checked.groupBy("fp", "part").agg(F.min("first").alias("keep_id"), F.max("last").alias("last")).where("keep_id < last").drop("last")
-    parts = checked.select("fp", "h", "m", "part").join(keep, ["fp", "part"])
-    parts = parts.select("h", "m", F.concat("fp", "part").alias("class"), "keep_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    ids = rows.select("id", F.xxhash64("form").alias("h"), F.md5("form").alias("m"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return ids.join(parts, ["h", "m", "salt"]).select("id", "class", "keep_id").distinct()
+    _checkpoint_dir(df)
+    source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(body).cast("string").alias("body"))
+    rows = spread(source).select("id", _formed("body").alias("f")).select("id", "f.fp", F.md5("f.form").alias("m")).where(F.col("fp").isNotNull())
+    rows = rows.checkpoint()
+    forms = rows.groupBy("fp", "m").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    classes = forms.groupBy("fp").agg(F.min("first").alias("keep_id"), F.max("last").alias("hi"), F.min_by("m", "first").alias("rep"), F.count("*").alias("forms")).where("keep_id < hi")
+    plain = classes.where("forms = 1").select("fp", F.col("rep").alias("m"), F.lit("").alias("part"), "keep_id")
+    several = forms.join(classes.where("forms > 1").select("fp", F.col("keep_id").alias("rep_id"), "rep"), "fp")
+    # the texts of one id per form, read again
+    wanted = several.select(F.col("first").alias("id")).unionByName(several.select(F.col("rep_id").alias("id"))).distinct()
+    texts = source.join(wanted, "id", "left_semi").select("id", _formed("body")["form"].alias("form"))
+    texts = texts.select("id", F.md5("form").alias("m"), "form").dropDuplicates(["id", "m"])
+    met = several.join(texts.select(F.col("id").alias("first"), "m", "form"), ["first", "m"]).join(
+        texts.select(F.col("id").alias("rep_id"), F.col("m").alias("rep"), F.col("form").alias("rep_form")), ["rep_id", "rep"]
+    )
+    checked = met.select("fp", "m", "first", "last", F.when(_same("form", "rep_form"), F.lit("")).otherwise(F.md5(_sorted("form"))).alias("part"))
+    keep = checked.groupBy("fp", "part").agg(F.min("first").alias("keep_id"), F.max("last").alias("hi")).where("keep_id < hi").drop("hi")
+    parts = checked.select("fp", "m", "part").join(keep, ["fp", "part"]).select("fp", "m", "part", "keep_id").unionByName(plain)
+    parts = parts.select("fp", "m", F.concat("fp", "part").alias("class"), "keep_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, ["fp", "m", "salt"]).select("id", "class", "keep_id").distinct()
+
+
+def _checkpoint_dir(df: DataFrame) -> None:
+    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrid"))
 
 
 def _sorted(form: str) -> Column:
