@@ -39,6 +39,7 @@ IBERIAN_WAYS = "Rua|R\\.|Avenida|Av\\.|Avda\\.|Travessa|Tv\\.|Praça|Pça\\.|Ala
 DE_WAYS = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer|steig|pfad|markt|chaussee|hof|graben|wall|stieg|berg"
 
 AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|arroba)\s?[\])}]\s?|%40)"
+AT_SIGN = re.compile(r"@|%40|[\[({]\s?(?:at|arroba)\b", re.I)
 DOT = r"(?:\.|\s?[\[({]\s?(?:dot|ponto|punto|punkt)\s?[\])}]\s?)"
 EMAIL = re.compile(rf"(?<![\w.%+\-@/])[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_.%+\-]*[\p{{L}}\p{{N}}_+\-])?{AT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?(?:{DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?)*{DOT}\p{{L}}{{2,24}}(?![\w@])", re.I)
 
@@ -122,6 +123,8 @@ def dni_ok(s: str) -> bool:
 
 
 def _email(text):
+    if not AT_SIGN.search(text):
+        return
     for m in EMAIL.finditer(text):
         yield m.start(), m.end(), 9.0
 
