@@ -12,6 +12,8 @@ Whole texts are scanned; a repeated text within a batch is scanned once.
 
 from __future__ import annotations
 
+import re as plain_re
+
 import regex as re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -43,22 +45,25 @@ AT_SIGN = re.compile(r"@|%40|[\[({]\s?(?:at|arroba)\b", re.I)
 DOT = r"(?:\.|\s?[\[({]\s?(?:dot|ponto|punto|punkt)\s?[\])}]\s?)"
 EMAIL = re.compile(rf"(?<![\w.%+\-@/])[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_.%+\-]*[\p{{L}}\p{{N}}_+\-])?{AT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?(?:{DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?)*{DOT}\p{{L}}{{2,24}}(?![\w@])", re.I)
 
-PHONE = re.compile(r"(?<![\w.,/+\-(#])(?:\+|00)?(?:\(\d{1,5}\)|\d{1,14})(?:(?:[ .\-/]| | - ){1,2}(?:\(\d{1,5}\)|\d{2,8})){0,6}(?![\w]|[.,\-/]\d)")
+PHONE = plain_re.compile(r"(?<![\w.,/+\-(#])(?=[+(\d][\d ().\-/ ]{6})(?:\+|00)?(?:\(\d{1,5}\)|\d{1,14})(?:(?:[ .\-/]| | - ){1,2}(?:\(\d{1,5}\)|\d{2,8})){0,6}(?![\w]|[.,\-/]\d)")
 PHONE_BEFORE = re.compile(r"(?:\b(?:tel|telephone|phone|fone|telefone|teléfono|telefono|telefon|fon|mobile|mobil|mob|cell|cel|celular|móvil|movil|whatsapp|handy|call|ring|me on|dial|rückruf|rückruf unter|ruf|anruf|ligue|ligar|llamar|llame|contato|contact|fax|sms|hotline|tfno)\b[^\n\w]{0,4}(?:\w{1,6}[^\n\w]{1,2})?|phone\W{0,4}(?:=|:)\W{0,3})$", re.I)
 PHONE_AFTER = re.compile(r"^(?:[,;]? ?(?:ramal|ext\b|extension|x\d|anexo|durchwahl|int\b)| ?/ ?desk line|['\"]? AS \w*(?:phone|tel|fone|mobile)|,? I'm in)", re.I)
 
 ID_BEFORE = re.compile(r"\b(?:ssn|social security(?: number| no\.?)?|(?:ni|nino|national insurance)(?: number| no\.?)?|cpf\w*|cnpf|rg|nif|nie|dni|nuss|cuil|cuit|curp|rfc|pis|cnh|nin|tin|itin|passport|pasaporte|passaporte|reisepass|personalausweis|ausweis\w*|steuer-?id\w*|steuer(?:nummer|identifikationsnummer)|idnr|id card|identity (?:card|number|document)|documento(?: de identidad| de identidade)?|identidad|identidade|contribuinte|tax (?:id|number)|taxpayer)\b[^\n\w]{0,4}(?:(?:number|no|nº|n\.º|nr|num|núm|número|is|é|es|lautet)\b[^\n\w]{0,4})?$", re.I)
-SSN = re.compile(r"(?<![\w.\-/+])\d{3}([ \-.])\d{2}\1\d{4}(?![\w]|[\-/]\d)")
-NINO = re.compile(r"(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Da-d](?![\w])")
-CPF = re.compile(r"(?<![\w.\-/+])(?:\d{3}[. ]\d{3}[. ]\d{3}[\- ./]\d{2}|\d{9}-\d{2}|\d{11})(?![\w]|[.\-/]\d)")
-DNI = re.compile(r"(?<![\w.\-/+])(?:\d{8}|\d{2}\.\d{3}\.\d{3}|[XYZxyz][\- ]?\d{7})[\- ]?[A-Za-z](?![\w])")
-OTHER_ID = re.compile(r"(?<![\w.\-/+])(?=[A-Z0-9 .\-/]*\d)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[A-Z0-9]){5,17}(?![\w])")
+SSN = plain_re.compile(r"(?<![\w.\-/+])\d{3}([ \-.])\d{2}\1\d{4}(?![\w]|[\-/]\d)")
+NINO = plain_re.compile(r"(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Da-d](?![\w])")
+CPF = plain_re.compile(r"(?<![\w.\-/+])(?:\d{3}[. ]\d{3}[. ]\d{3}[\- ./]\d{2}|\d{9}-\d{2}|\d{11})(?![\w]|[.\-/]\d)")
+DNI = plain_re.compile(r"(?<![\w.\-/+])(?:\d{8}|\d{2}\.\d{3}\.\d{3}|[XYZxyz][\- ]?\d{7})[\- ]?[A-Za-z](?![\w])")
+OTHER_ID = plain_re.compile(r"(?<![\w.\-/+])(?=[A-Z0-9 .\-/]*\d)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[A-Z0-9]){5,17}(?![\w])")
 
 HOUSE = r"\d{1,5}(?:\s?[A-Za-z](?![\p{L}\d])|[\-/]\d{1,4})?"
 WORD = r"[\p{Lu}][\p{L}’'\-]*"
 EN_ADDRESS = re.compile(rf"(?<![\w.\-/+:,]){HOUSE} (?:(?:{WORD}|of|the) ){{1,4}}(?:{EN_WAYS}|(?i:{EN_WAYS}))\b(?![\w_])")
 IB_ADDRESS = re.compile(rf"(?<![\p{{L}}\d_])(?i:{IBERIAN_WAYS})\s?(?:(?i:de|da|do|das|dos|del|la|las|los|el|e|y) |{WORD} ?){{1,7}},?\s?(?i:nº|n\.º|n°|núm\.|num\.|no\.|número|n\.)?\s?{HOUSE}(?![\w]|[.:\-/]\d)")
 DE_ADDRESS = re.compile(rf"(?<![\w\-])(?:(?:(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter|Bei|Alte[rn]?|Neue[rn]?|Große[rn]?|Kleine[rn]?|Obere[rn]?|Untere[rn]?|der|dem|den|{WORD}) ){{0,3}})?(?:[\p{{Lu}}][\p{{L}}\-]*(?:{DE_WAYS})|[\p{{Lu}}]+(?i:{DE_WAYS})) {HOUSE}(?![\w]|[.:\-/]\d)")
+# what an address of the kind must contain, in lower case
+IB_WORDS = [w.lower().replace("\\", "") for w in IBERIAN_WAYS.split("|")]
+DE_WORDS = [w.lower().replace("\\", "") + " " for w in DE_WAYS.split("|")]
 ADDRESS_BEFORE = re.compile(r"(?:\b(?:address|adresse|anschrift|dirección|direccion|endereço|endereco|domicilio|domicílio|morada|lives at|living at|mora (?:na|no|em)|vive en|wohnt|ship to|deliver to|entregar em|enviar a|lieferung an|lieferung|the tenant at|resides at|reside en|reside na|located at|visit)\b[\s:=\"']{0,4}(?:in der |an der |am |im )?|address\w*['\" ]{0,2}(?:=|:)\s?['\"])$", re.I)
 
 PARTICLE = r"(?:d[aeo]s?|del|de la|de los|von|van|di|du|der|zu)"
@@ -181,7 +186,10 @@ def _ids(text):
 
 
 def _address(text):
-    for rx, need in ((EN_ADDRESS, 3.0), (IB_ADDRESS, 3.0), (DE_ADDRESS, 3.0)):
+    low = text.lower()
+    for rx, words, need in ((EN_ADDRESS, None, 3.0), (IB_ADDRESS, IB_WORDS, 3.0), (DE_ADDRESS, DE_WORDS, 3.0)):
+        if words and not any(w in low for w in words):
+            continue
         for m in rx.finditer(text):
             score = need + (2 if ADDRESS_BEFORE.search(text[max(0, m.start() - BEFORE) : m.start()]) else 0)
             yield m.start(), m.end(), score + 1
