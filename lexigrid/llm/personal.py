@@ -94,8 +94,17 @@ NOT_NAME = set(
 )
 
 
+_NOT_DIGIT = plain_re.compile(r"\D+")
+_RUN = plain_re.compile(r"[^\s,]+")
+_PARTICLE = plain_re.compile(PARTICLE, plain_re.I)
+_AREA = plain_re.compile(r"(?:\+\d+ ?)?\(\d{2,5}\) ?\d")
+_COUNTED = plain_re.compile(r"(?:order|row|rpt-?|build|version|ticket|invoice|sum was|pedido|nota|sku|isbn|=|<|>|between|in \()\s*$", plain_re.I)
+_DATE = plain_re.compile(r"(?:19|20)\d\d[\-/.]\d\d[\-/.]\d\d|\d\d[./]\d\d[./]\d{4}$")
+_BARE = plain_re.compile(r"[_\[\]]$")
+
+
 def _digits(s: str) -> str:
-    return re.sub(r"\D", "", s)
+    return _NOT_DIGIT.sub("", s)
 
 
 def luhn(s: str) -> bool:
@@ -146,7 +155,7 @@ def _phone(text):
             score += 3
         elif s.startswith("00"):
             score += 0.5
-        if re.match(r"(?:\+\d+ ?)?\(\d{2,5}\) ?\d", s):
+        if _AREA.match(s):
             score += 2.5
         if PHONE_BEFORE.search(before):
             score += 3
@@ -154,9 +163,9 @@ def _phone(text):
             score += 3
         if ID_BEFORE.search(before):
             score -= 6
-        if re.search(r"(?:order|row|rpt-?|build|version|ticket|invoice|sum was|pedido|nota|sku|isbn|=|<|>|between|in \()\s*$", before, re.I) and not s.startswith("+") and not PHONE_BEFORE.search(before):
+        if _COUNTED.search(before) and not s.startswith("+") and not PHONE_BEFORE.search(before):
             score -= 3
-        if re.match(r"(?:19|20)\d\d[\-/.]\d\d[\-/.]\d\d", s) or re.fullmatch(r"\d\d[./]\d\d[./]\d{4}", s):
+        if _DATE.match(s):
             score -= 4
         if score >= THRESHOLD or score >= 2.5 and s[0] == "(":
             yield m.start(), m.end(), max(score, THRESHOLD)
@@ -200,7 +209,7 @@ def _name(text):
     while m := NAME.search(text, at):
         start, end = m.span()
         # a name is read again behind common words that came before it
-        while (w := re.match(r"[^\s,]+", text[start:end])) and _plain(w[0]) and (again := NAME.search(text, start + w.end())) and again.start() < end:
+        while (w := _RUN.match(text[start:end])) and _plain(w[0]) and (again := NAME.search(text, start + w.end())) and again.start() < end:
             start, end = again.span()
         yield from _name_at(text, start, end)
         at = end
@@ -208,16 +217,16 @@ def _name(text):
 
 def _name_at(text, start, end):
     s = text[start:end]
-    words = [(w.start() + start, w.end() + start) for w in re.finditer(r"[^\s,]+", s)]
+    words = [(w.start() + start, w.end() + start) for w in _RUN.finditer(s)]
     # a cue word or a common word may have been swallowed at either end
     while words and _plain(text[words[0][0] : words[0][1]]):
         words.pop(0)
-    cut = next((i for i, (a, b) in enumerate(words) if _plain(text[a:b]) and not re.fullmatch(PARTICLE, text[a:b], re.I)), None)
+    cut = next((i for i, (a, b) in enumerate(words) if _plain(text[a:b]) and not _PARTICLE.fullmatch(text[a:b])), None)
     if cut is not None:
         words = words[:cut]
-    while words and re.fullmatch(PARTICLE, text[words[-1][0] : words[-1][1]], re.I):
+    while words and _PARTICLE.fullmatch(text[words[-1][0] : words[-1][1]]):
         words.pop()
-    while words and re.fullmatch(PARTICLE, text[words[0][0] : words[0][1]], re.I):
+    while words and _PARTICLE.fullmatch(text[words[0][0] : words[0][1]]):
         words.pop(0)
     known = [text[a:b].lower().split("-")[0] in GIVEN for a, b in words]
     if any(known[1:]) and not known[0] and "," not in text[start:end]:
@@ -238,7 +247,7 @@ def _name_at(text, start, end):
         score += 2
     if len(words) <= 4 and score >= THRESHOLD:
         yield start, end, score
-    elif given[0] and len(words) <= 4 and not re.search(r"[_\[\]]$", before):
+    elif given[0] and len(words) <= 4 and not _BARE.search(before):
         yield start, end, THRESHOLD
 
 
