@@ -322,6 +322,10 @@ def extracted(bodies):
     return pd.DataFrame([seen[b] for b in bodies], columns=OBJECTS.names)
 
 
+# Not deterministic to the optimizer: a filter on its result would otherwise run it twice.
+extracted = extracted.asNondeterministic()
+
+
 def objects_text(objects: Column) -> Column:
     """All names, type by type in order, joined by one blank: the text that full-text search sees."""
     return F.array_join(F.concat(*[F.array_sort(objects[k]) for k in OBJECTS.names]), " ")

@@ -534,6 +534,50 @@ def u13_reverse_search(spark: SparkSession, d: str) -> DataFrame:
     return names.select(F.col("query_id").alias("id"), F.concat(F.lit(search.chip_search("table", "")), "object_name").alias("search_text"))
 
 
+@query(
+    """SELECT id, version, newer FROM (SELECT id, v AS version, CASE WHEN list_bool_and(list_transform(string_split(ltrim(v, 'v'), '.'), lambda x: try_cast(x AS INTEGER) IS NOT NULL))
+THEN list_transform(string_split(ltrim(v, 'v'), '.'), lambda x: try_cast(x AS INTEGER)) ELSE [0] END > [1, 9, 0] AS newer
+FROM (SELECT id, 'v' || (id % 3) || '.' || (id % 12) || CASE WHEN id % 7 = 0 THEN '.x' ELSE '' END AS v FROM q))"""
+)
+def u14_newer_version(spark: SparkSession, d: str) -> DataFrame:
+    v = F.concat(F.lit("v"), F.expr("id % 3"), F.lit("."), F.expr("id % 12"), F.when(F.expr("id % 7 = 0"), ".x").otherwise(""))
+    return table(spark, d, "queries").select("id").distinct().select("id", v.alias("version"), (fx.version_key(v) > F.array(F.lit(1), F.lit(9), F.lit(0))).alias("newer"))
+
+
+@query("SELECT id, CASE dialect WHEN 'tsql' THEN 'Server' WHEN 'sqlite' THEN 'Datei' ELSE dialect END AS label FROM q")
+def u15_translated(spark: SparkSession, d: str) -> DataFrame:
+    """Active language, else English, else the key."""
+    label = fx.translated(F.col("dialect"), {"sqlite": "Datei"}, {"sqlite": "File", "tsql": "Server"})
+    return table(spark, d, "queries").select("id", "dialect").distinct().select("id", label.alias("label"))
+
+
+@query("SELECT project, CAST(floor(100 * count(description) / count(*)) AS BIGINT) AS described FROM q GROUP BY project")
+def u16_percent(spark: SparkSession, d: str) -> DataFrame:
+    """U16: share of described files in whole percent."""
+    q = table(spark, d, "queries").select("id", "project", "description").distinct()
+    return q.groupBy("project").agg(F.count("description").alias("n"), F.count("*").alias("total")).select("project", fx.percent(F.col("n"), F.col("total")).alias("described"))
+
+
+@query("SELECT count(*) AS total FROM q")
+def g4_total(spark: SparkSession, d: str) -> DataFrame:
+    """Files over all projects."""
+    return table(spark, d, "queries").agg(F.countDistinct("id").alias("total"))
+
+
+@query("SELECT project, rel_path, title, viewed_at FROM (SELECT q.project, q.rel_path, q.title, v.viewed_at, row_number() OVER (PARTITION BY q.project ORDER BY v.viewed_at DESC, q.rel_path) AS r FROM q JOIN (SELECT project, rel_path, max(viewed_at) AS viewed_at FROM views WHERE viewed_at IS NOT NULL GROUP BY ALL) v ON v.project = q.project AND v.rel_path = q.rel_path) WHERE r <= 10")
+def c8_recent_by_project(spark: SparkSession, d: str) -> DataFrame:
+    """The ten files of each project that still exist and were viewed last."""
+    last = coll.last_views(cat.views(spark, d), ["project", "rel_path"])
+    there = cat.queries(spark, d).select("project", "rel_path", "title").join(last, ["project", "rel_path"])
+    return coll.top_recent(there, "project", n=10)
+
+
+@query("SELECT project, tag, count(DISTINCT query_id) AS queries FROM links JOIN q ON q.id = query_id GROUP BY ALL")
+def c9_tags_by_project(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of each project with the number of their files."""
+    return cat.with_project(spark, d, cat.links(spark, d)).groupBy("project", "tag").agg(F.countDistinct("query_id").alias("queries"))
+
+
 # -- watching ------------------------------------------------------------------------------
 _EVENTS = """, e AS (SELECT 'u' || user_id AS project, props || '.sql' AS path, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'modify' END AS op, ts FROM events)"""
 
