@@ -18,7 +18,7 @@ from ..functions.text import stored_tags
 from ..schemas import FILES
 
 # The folder of an index inside a project, and the form of a front matter.
-INDEX_DIR = ".sqlshelf"
+INDEX_DIR = ".lexigrid"
 FRONT = re.compile(r"\A/\*\s*---\s*\n(.*?)\n---\s*\*/\s*\n?", re.S)
 
 

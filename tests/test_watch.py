@@ -19,7 +19,7 @@ ROWS = [
     ("a.sql", "modified", None, 100),
     ("b.SQL", "deleted", None, 400),
     ("c.txt", "modified", None, 450),
-    (".sqlshelf/x.sql", "modified", None, 460),
+    (".lexigrid/x.sql", "modified", None, 460),
     ("old.sql", "moved", "new.sql", 700),
     ("d.sql", "deleted", None, 3000),
     ("d.sql", "created", None, 3200),
@@ -30,7 +30,7 @@ ROWS = [
 
 def test_changes(spark):
     got = {(r["path"], r["op"]) for r in watch.changes(_events(spark, ROWS)).collect()}
-    assert ("old.sql", "delete") in got and ("new.sql", "modify") in got and not any(p in ("c.txt", ".sqlshelf/x.sql") for p, _ in got)
+    assert ("old.sql", "delete") in got and ("new.sql", "modify") in got and not any(p in ("c.txt", ".lexigrid/x.sql") for p, _ in got)
 
 
 def test_batches(spark):
