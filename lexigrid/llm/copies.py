@@ -146,6 +146,10 @@ def _formed(bodies):
     return pd.DataFrame(out, columns=FORM.names, dtype=object)
 
 
+# Not deterministic to the optimizer: a filter on its result would otherwise run it twice.
+_formed = _formed.asNondeterministic()
+
+
 @F.pandas_udf(T.BooleanType())
 def _same(a, b):
     import pandas as pd
