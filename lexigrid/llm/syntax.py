@@ -21,6 +21,7 @@ from xml.parsers import expat
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..plans.spread import spread
 from .sqlgrammar import BLANK, CONFLICT, DIALECTS, check
 
 # Tokens that speak for a language; each distinct hit counts one.
@@ -193,10 +194,14 @@ def _diagnosed(bodies, dialects):
     return pd.DataFrame([seen[k] for k in zip(bodies, dialects)], columns=RESULT.names)
 
 
+# Not deterministic to the optimizer: a filter on its result would otherwise run it twice.
+_diagnosed = _diagnosed.asNondeterministic()
+
+
 def parsed_files(df: DataFrame, key: str = "id", body: str = "body", dialect: str = "dialect", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, dialect, the kept columns, valid, cause, language; one row per input row. A narrow map, no shuffle."""
     cols = [F.col(key), F.col(dialect), *map(F.col, keep)]
-    return df.select(*cols, _diagnosed(F.col(body), F.lower(F.col(dialect))).alias("_r")).select(key, dialect, *keep, "_r.valid", "_r.cause", "_r.language")
+    return spread(df.select(*cols, body)).select(*cols, _diagnosed(F.col(body), F.lower(F.col(dialect))).alias("_r")).select(key, dialect, *keep, "_r.valid", "_r.cause", "_r.language")
 
 
 def invalid_files(df: DataFrame) -> DataFrame:
