@@ -20,7 +20,9 @@ from bisect import bisect_left
 
 import regex as re
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from ..plans.spread import spread
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -173,23 +175,23 @@ def leaked(docs: DataFrame, items: DataFrame, words: int = 12, max_items: int =
     rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
     parts = max(1, -(-size["n"] // max_items), -(-size["c"] // max_chars))
-    found = None
+    found, docs = None, spread(docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     for part in range(parts):
         block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         index = spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in block.toLocalIterator()), words))
 
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def hits(texts, index=index):
+        def hits(batches, index=index):
             import pandas as pd
 
-            seen: dict = {}
-            out = []
-            for t in texts:
-                if t not in seen:
-                    seen[t] = index.value.find(t)
-                out.append(seen[t])
-            return pd.Series(out, dtype=object)
+            for batch in batches:
+                seen: dict = {}
+                out = []
+                for i, t in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                    if t not in seen:
+                        seen[t] = index.value.find(t)
+                    out += [(i, k) for k in seen[t]]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(hits(F.col("text"))).alias("item_id"))
+        one = docs.mapInPandas(hits, "doc_id long, item_id long")
         found = one if found is None else found.unionByName(one)
     return found.distinct()
