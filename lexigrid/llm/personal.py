@@ -18,6 +18,8 @@ import regex as re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..plans.spread import spread
+
 THRESHOLD = 3.0
 BEFORE, AFTER = 34, 28
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -288,23 +290,22 @@ def redact(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("found", T.StringType())]))
+SPANS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("found", T.StringType())])
 
 
-@F.pandas_udf(SPANS)
-def _spans(texts):
+def _spans(batches):
     import pandas as pd
 
-    seen: dict[str, list] = {}
-    out = []
-    for t in texts:
-        if not t:
-            out.append([])
-            continue
-        if t not in seen:
-            seen[t] = sorted({(k, t[a:b]) for a, b, k in find_spans(t)})
-        out.append([{"kind": k, "found": f} for k, f in seen[t]])
-    return pd.Series(out)
+    for batch in batches:
+        seen: dict[str, list] = {}
+        out = []
+        for i, t in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            if not t:
+                continue
+            if t not in seen:
+                seen[t] = sorted({(k, t[a:b]) for a, b, k in find_spans(t)})
+            out += [(i, k, f) for k, f in seen[t]]
+        yield pd.DataFrame(out, columns=SPANS.names).astype({"doc_id": "int64"})
 
 
 @F.pandas_udf(T.StringType())
@@ -315,9 +316,9 @@ def _redacted(texts):
 
 
 def personal_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, kind, found: one row per distinct span text of a document. A narrow map; no shuffle."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), _spans(F.col(text)).alias("s"))
-    return rows.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.kind", "s.found")
+    """doc_id, kind, found: one row per distinct span text of a document. A narrow map; no shuffle. Rows with a null key are left out."""
+    rows = spread(df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    return rows.mapInPandas(_spans, SPANS)
 
 
 def redacted(text: Column) -> Column:
