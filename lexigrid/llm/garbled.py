@@ -16,6 +16,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..plans.spread import spread
+
 # Legacy encodings under which UTF-8 bytes are read by mistake.
 UTF8_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250")
 # Fixed values: (encoding used by mistake, encoding meant), both of one byte.
@@ -236,7 +238,7 @@ def garbled_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]))
     texts = (
-        df.where(F.col(key).isNotNull())
+        spread(df.where(F.col(key).isNotNull()).select(key, *fields))
         .select(F.col(key).cast("long").alias("query_id"), cells.alias("cell"))
         .select("query_id", "cell.field", "cell.text")
         .where(F.col("text").rlike("[^\\x00-\\x7F]"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.spread import spread
 from ..sources.tables import table
 from . import copies, garbled, leaks, pairs, personal, syntax, terms, tokens
 
@@ -94,7 +95,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Documents, tokens and how many texts decoding doesn't give back (0), by source."""
-    rows = table(spark, d, "documents").select("source", "text", tokens.token_ids(F.col("text")).alias("ids"))
+    rows = spread(table(spark, d, "documents").select("source", "text")).select("source", "text", tokens.token_ids(F.col("text")).alias("ids"))
     lost = tokens.token_text(F.col("ids")) != F.coalesce("text", F.lit(""))
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size("ids")).alias("tokens"), F.sum(lost.cast("long")).alias("lost"))
 
@@ -114,7 +115,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every document with typed placeholders for its personal spans."""
-    return table(spark, d, "documents").select("doc_id", personal.redacted(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", personal.redacted(F.col("text")).alias("text"))
 
 
 QUERIES = {

@@ -20,6 +20,8 @@ import regex as re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..plans.spread import spread
+
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,4 +90,4 @@ def token_text(ids: Column, path: str | None = None) -> Column:
 
 def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids: a narrow map, no shuffle; every row of the input is kept."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), token_ids(F.col(text), path).alias("ids"))
+    return spread(df.select(key, text)).select(F.col(key).cast("long").alias("doc_id"), token_ids(F.col(text), path).alias("ids"))
