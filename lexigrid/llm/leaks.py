@@ -164,7 +164,7 @@ class Index:
                     hit.update(k for k in own if k in hot)
 
 
-def leaked(docs: DataFrame, items: DataFrame, words: int = 12, max_items: int = 200_000, max_chars: int = 64_000_000) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, words: int = 12, max_items: int = 20_000, max_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id: one row per document and item of which it holds ``words`` successive words.
 
     The index of the items is broadcast.  Test sets are small by nature; their
