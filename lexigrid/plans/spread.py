@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..sources.ship import ship
+
 
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over at least as many partitions as there are cores.
@@ -12,5 +14,6 @@ def spread(df: DataFrame) -> DataFrame:
     would run on one of them.  Large inputs have more splits than cores and are
     returned as they are, without a shuffle.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.text import stored_tags
 from ..schemas import FILES
+from .ship import ship
 
 # The folder of an index inside a project, and the form of a front matter.
 INDEX_DIR = ".lexigrid"
@@ -27,6 +28,7 @@ def scan(spark: SparkSession, root: str, project: str | None = None, hidden: boo
 
     hidden=False lets Spark list the files, which skips names that begin with _ or a dot.
     """
+    ship(spark)
     name = project or os.path.basename(os.path.normpath(root))
     if not hidden:
         df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").option("ignoreMissingFiles", "true").load(root)
