@@ -68,9 +68,12 @@ def apply_template(body: Column, params: Column) -> Column:
 
 
 def safe_filename(title: Column) -> Column:
-    """File stem of a title: trimmed, lower case, word characters, blanks and underscores as one underscore; never empty."""
-    name = F.lower(F.regexp_replace(title, r"(?U)^\s+|\s+$", ""))
-    name = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w\s-]", ""), r"(?U)[\s_]+", "_")
+    """File stem of a title: trimmed, lower case, word characters, blanks and underscores as one underscore; never empty.
+
+    Word characters are letters, numbers of any kind and the underscore; the separators U+001C to U+001F count as blanks.
+    """
+    name = F.lower(F.regexp_replace(title, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", ""))
+    name = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\p{L}\p{N}_\s\x1C-\x1F-]", ""), r"(?U)[\s\x1C-\x1F_]+", "_")
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("query"))
 
 

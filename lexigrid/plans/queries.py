@@ -471,6 +471,19 @@ def u4_unique_names(spark: SparkSession, d: str) -> DataFrame:
     return coll.unique_names(q, "stem", "id").select("id", "file_name")
 
 
+@query()
+def u3_all_filenames(spark: SparkSession, d: str) -> DataFrame:
+    """The file stem of every title; u3_safe_filename has those of Latin-1 titles only, as its SQL does."""
+    return cat.queries(spark, d).select("id", fx.safe_filename(F.col("title")).alias("stem"))
+
+
+@query()
+def u4_all_names(spark: SparkSession, d: str) -> DataFrame:
+    """The free file name of every title, numbered over all titles."""
+    q = cat.queries(spark, d).select("id", "project", fx.safe_filename(F.col("title")).alias("stem"))
+    return coll.unique_names(q, "stem", "id").select("id", "file_name")
+
+
 _AGO = f"date_diff('day', try_strptime(updated_at[1:10], '%Y-%m-%d')::DATE, DATE '{TODAY}')"
 _LABEL = f"CASE WHEN {_AGO} IS NULL THEN '' WHEN {_AGO} = 0 THEN 'today' WHEN {_AGO} = 1 THEN 'yesterday' WHEN {_AGO} < 7 THEN {_AGO} || 'd' WHEN {_AGO} < 30 THEN ({_AGO} // 7) || 'w' WHEN {_AGO} < 365 THEN ({_AGO} // 30) || 'mo' ELSE ({_AGO} // 365) || 'y' END"
 
