@@ -13,6 +13,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Fixed value: items of one chunk of a long basket, on average.
+CHUNK = 256
+
+
+def _firsts(kept: DataFrame) -> DataFrame:
+    """item_a with the larger items of its basket; the baskets are split by that item first, so one long basket spreads over tasks."""
+    baskets = kept.groupBy("b").agg(F.array_sort(F.collect_set("i")).alias("items")).where(F.size("items") > 1)
+    split = baskets.select(F.posexplode("items").alias("p", "item_a"), "items").where(F.col("p") + 1 < F.size("items"))
+    return split.select("item_a", F.slice("items", F.col("p") + 2, F.size("items")).alias("rest"))
+
+
+def _chunked(kept: DataFrame) -> DataFrame:
+    """The same in rows of bounded size: items go to chunks of their basket by hash, and each item meets every chunk of it."""
+    sizes = kept.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").select("b", F.ceil(F.col("size") / CHUNK).alias("chunks"))
+    placed = kept.join(sizes, "b").select("b", "i", "chunks", F.pmod(F.xxhash64("i"), "chunks").alias("chunk"))
+    chunks = placed.groupBy("b", "chunk").agg(F.collect_list("i").alias("items"))
+    firsts = placed.select("b", F.col("i").alias("item_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    met = firsts.join(chunks, ["b", "chunk"])
+    return met.select("item_a", F.filter("items", lambda x: x > F.col("item_a")).alias("rest"))
+
 
 def item_pairs(
     df: DataFrame, basket: str, item: str, min_count: int = 5, min_share: float = 0.0, min_lift: float = 0.0
@@ -22,8 +42,8 @@ def item_pairs(
     With min_share > 0 at most (mean basket size) / min_share items survive the
     support filter, whatever the data's size: that is the bound on the broadcast
     list of items and on the length of a basket.  Without it the items are joined
-    by shuffle.  A pair is emitted once per basket, from its smaller item; the
-    baskets are split by that item first, so one long basket spreads over tasks.
+    by shuffle, and a basket is cut into chunks of about CHUNK items.  A pair is
+    emitted once per basket, from its smaller item.
     """
     one = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).distinct()
     total = one.select("b").distinct().agg(F.count("*")).scalar()
@@ -31,9 +51,7 @@ def item_pairs(
     frequent = counts.where((F.col("c") >= min_count) & (F.col("c") >= min_share * F.col("n")))
     small = F.broadcast(frequent.select("i", "c")) if min_share > 0 else frequent.select("i", "c")
     kept = one.join(small, "i").select("b", "i")
-    baskets = kept.groupBy("b").agg(F.array_sort(F.collect_set("i")).alias("items")).where(F.size("items") > 1)
-    split = baskets.select(F.posexplode("items").alias("p", "item_a"), "items").where(F.col("p") + 1 < F.size("items"))
-    rest = split.select("item_a", F.slice("items", F.col("p") + 2, F.size("items")).alias("rest"))
+    rest = _firsts(kept) if min_share > 0 else _chunked(kept)
     pairs = rest.select("item_a", F.explode("rest").alias("item_b")).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab"))
     pairs = pairs.where(F.col("n_ab") >= min_count)
     a = frequent.select(F.col("i").alias("item_a"), F.col("c").alias("n_a"), "n")

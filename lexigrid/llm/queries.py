@@ -17,9 +17,9 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_objects").select("query_id", terms.plain_value(F.col("object_name")).alias("item"))
 
 
-def _pairs(spark: SparkSession, d: str, lift: float) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, lift: float, least: int = 5, share: float = 1 / 500) -> DataFrame:
     both = [("tag_id", table(spark, d, "query_tags").select("query_id", F.col("tag_id").cast("long").alias("item"))), ("object_name", _names(spark, d))]
-    found = [pairs.item_pairs(df, "query_id", "item", 5, 1 / 500, lift).select(F.lit(f).alias("field"), "*") for f, df in both]
+    found = [pairs.item_pairs(df, "query_id", "item", least, share, lift).select(F.lit(f).alias("field"), "*") for f, df in both]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -28,9 +28,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, 3).select("field", "item_a", "item_b")
 
 
+def _lift(found: DataFrame) -> DataFrame:
+    return found.select("field", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+
+
 def p1_lift(spark: SparkSession, d: str) -> DataFrame:
     """All pairs with support, with counts, lift and pointwise mutual information."""
-    return _pairs(spark, d, 0).select("field", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+    return _lift(_pairs(spark, d, 0))
+
+
+def p1_all_lift(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every pair in at least one query."""
+    return _lift(_pairs(spark, d, 0, 1, 0))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +130,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_lift, p2_found, p2_repaired, p3_found, p3_counts, p4_found, p4_counts, p4_title_ngrams,
+        p1_found, p1_lift, p1_all_lift, p2_found, p2_repaired, p3_found, p3_counts, p4_found, p4_counts, p4_title_ngrams,
         p5_found, p5_rates, p5_causes, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found, p8_redacted,
     )
 }
