@@ -1,8 +1,8 @@
 """Syntax check of SQL scripts in three dialects: a tokenizer and a predictive parser.
 
-Only syntax counts; names are never looked up.  Statements that the catalog's
-files hardly use (DDL, permissions, settings) are checked for balanced brackets
-only, which the docstring of ``_Parser.loose`` states.
+Only syntax counts; names are never looked up.  Tables, views, T-SQL modules,
+SQLite triggers and cursors are parsed; permissions, settings, indexes and other
+definitions are checked for balanced brackets only, by ``_Parser.loose``.
 """
 
 from __future__ import annotations
@@ -159,6 +159,12 @@ _LOOSE = {
     "postgres": set("DROP CREATE ALTER GRANT REVOKE COPY VACUUM ANALYZE ANALYSE EXPLAIN COMMENT DO CALL LOCK REINDEX CLUSTER REFRESH SECURITY LISTEN NOTIFY UNLISTEN PREPARE EXECUTE DEALLOCATE DISCARD RESET SHOW SAVEPOINT RELEASE IMPORT REASSIGN DECLARE FETCH CLOSE MOVE CHECKPOINT LOAD".split()) - {"IMPORT"},
     "sqlite": set("DROP CREATE ALTER PRAGMA ATTACH DETACH VACUUM ANALYZE REINDEX SAVEPOINT RELEASE EXPLAIN".split()),
 }
+# Further words of a column's definition; brackets may follow each.
+_ATTRIBUTES = {
+    "tsql": set("NULL IDENTITY ROWGUIDCOL SPARSE PERSISTED HIDDEN GENERATED ALWAYS AS ROW START END MASKED ENCRYPTED WITH ON FILESTREAM CLUSTERED NONCLUSTERED INDEX PRIMARY".split()) | {'"'},
+    "postgres": set("NULL GENERATED ALWAYS BY AS IDENTITY STORED STORAGE COMPRESSION DEFERRABLE INITIALLY DEFERRED IMMEDIATE NO INHERIT INCLUDE WITH USING INDEX TABLESPACE ENFORCED PLAIN EXTERNAL EXTENDED MAIN PERIOD".split()),
+    "sqlite": set("NULL GENERATED ALWAYS AUTOINCREMENT ASC DESC STORED VIRTUAL DEFERRABLE INITIALLY DEFERRED IMMEDIATE".split()),
+}
 
 
 class _Parser:
@@ -220,9 +226,13 @@ class _Parser:
         self.need(")")
 
     def loose(self, stop: set[str] | None = None) -> None:
-        """Any tokens with balanced brackets, up to ; or GO or the end; nothing else is checked."""
-        depth, first, begins = 0, self.i, 0
+        """Any tokens with balanced brackets, up to ; or GO or the end, in T-SQL also up to the next statement; nothing else is checked."""
+        depth, first, begins, granted = 0, self.i, 0, self.t[self.i] in ("GRANT", "DENY", "REVOKE")
         while (t := self.t[self.i]) != "":
+            if granted and t in ("TO", "FROM"):
+                granted = False
+            if self.ts and not depth and not begins and not granted and self.i - first > 1 and self.begins_statement(first):
+                break
             if t in ("(", "["):
                 depth += 1
             elif t in (")", "]"):
@@ -239,6 +249,17 @@ class _Parser:
         if depth or begins or self.i - first < 2:
             self.fail()
 
+    def begins_statement(self, first: int) -> bool:
+        """Whether a word within a T-SQL statement begins another one, rather than being a clause of it."""
+        before, t, after = self.t[self.i - 1 : self.i + 2] if self.t[self.i] else ("", "", "")
+        if t not in _STATEMENT or t == "WITH" or before in ("ON", "WITH", ",", ".", "=", "FOR", "AS", "INSTEAD") or after in (".", "="):
+            return False
+        if t == "IF":
+            return not (after == "EXISTS" and self.t[self.i + 2] != "(")
+        if t == "SET":
+            return before not in ("UPDATE", "DELETE") and after != "(" and not (self.t[first] == "ALTER" and self.t[first + 1] not in ("TABLE", "INDEX"))
+        return not (t == "MERGE" and after == "RANGE")
+
     # -- expressions -----------------------------------------------------------
     # Each returns True for a condition, False for a value; only T-SQL tells them apart.
     def condition(self) -> None:
@@ -752,7 +773,8 @@ class _Parser:
                 if not self.take("ROWS"):
                     self.need("ROW")
                 self.fetch()
-            if self.take("FOR"):
+            if self.at("FOR") and self.t[self.i + 1] not in ("UPDATE", "READ"):
+                self.i += 1
                 if not self.at("XML", "JSON", "BROWSE", "SYSTEM_TIME"):
                     self.fail()
                 self.i += 1
@@ -1077,7 +1099,7 @@ class _Parser:
             self.i -= 1
             if self.lite:
                 self.fail()
-            self.loose()
+            self.merge()
         elif t in ("INSERT", "REPLACE"):
             if self.lite and t == "INSERT" and self.take("OR"):
                 if not self.at("REPLACE", "IGNORE", "ABORT", "FAIL", "ROLLBACK"):
@@ -1253,7 +1275,7 @@ class _Parser:
         elif t in ("INSERT", "UPDATE", "DELETE", "MERGE") or t == "REPLACE" and self.lite:
             self.dml()
         elif t in _LOOSE[self.d]:
-            self.loose()
+            self.definition(t)
         elif t == "TRUNCATE" and not self.lite:
             self.i += 1
             if not self.take("TABLE") and self.ts:
@@ -1273,11 +1295,573 @@ class _Parser:
             self.fail()
         self.deep -= 1
 
+    # -- definitions ---------------------------------------------------------------
+    def words(self, *words: str) -> None:
+        while self.at(*words):
+            self.i += 1
+
+    def exists(self) -> None:
+        if self.at("IF"):
+            self.i += 1
+            self.take("NOT")
+            self.need("EXISTS")
+
+    def cursor(self) -> None:
+        """The rest of a T-SQL cursor, behind its name."""
+        self.words("INSENSITIVE", "SCROLL")
+        self.need("CURSOR")
+        self.words("LOCAL", "GLOBAL", "FORWARD_ONLY", "SCROLL", "STATIC", "KEYSET", "DYNAMIC", "FAST_FORWARD", "READ_ONLY", "SCROLL_LOCKS", "OPTIMISTIC", "TYPE_WARNING")
+        self.need("FOR")
+        self.query()
+        if self.take("FOR"):
+            if self.take("READ"):
+                self.need("ONLY")
+            else:
+                self.need("UPDATE")
+                if self.take("OF"):
+                    self.column()
+                    while self.take(","):
+                        self.column()
+
+    def merge(self) -> None:
+        self.need("MERGE")
+        if self.ts and self.take("TOP"):
+            self.top()
+        if not self.take("INTO") and self.pg:
+            self.fail()
+        if self.pg:
+            self.take("ONLY")
+        self.path()
+        if self.ts and self.at("WITH") and self.t[self.i + 1] == "(":
+            self.i += 1
+            self.brackets()
+        if not self.at("USING"):
+            self.alias()
+        self.need("USING")
+        self.joined()
+        self.need("ON")
+        self.condition()
+        if not self.at("WHEN"):
+            self.fail()
+        while self.take("WHEN"):
+            free = self.take("NOT")
+            self.need("MATCHED")
+            if self.take("BY") and not self.take("TARGET"):
+                self.need("SOURCE")
+                free = False
+            if self.take("AND"):
+                self.condition()
+            self.need("THEN")
+            if self.pg and self.take("DO"):
+                self.need("NOTHING")
+            elif free:
+                self.need("INSERT")
+                if self.at("("):
+                    self.need("(")
+                    self.column()
+                    while self.take(","):
+                        self.column()
+                    self.need(")")
+                if self.pg and self.take("OVERRIDING"):
+                    self.any_word()
+                    self.need("VALUE")
+                if self.take("DEFAULT"):
+                    self.need("VALUES")
+                else:
+                    self.need("VALUES")
+                    self.need("(")
+                    self.value()
+                    while self.take(","):
+                        self.value()
+                    self.need(")")
+            elif not self.take("DELETE"):
+                self.need("UPDATE")
+                self.need("SET")
+                self.assignments()
+        self.output()
+        self.returning()
+        if self.ts:
+            if self.take("OPTION"):
+                self.brackets()
+            if not self.at(";"):  # T-SQL wants it after this statement alone
+                self.fail()
+
+    def definition(self, t: str) -> None:
+        """CREATE, ALTER, DROP, EXPLAIN, PREPARE and cursors: tables, views, modules and what else holds queries or statements; the others by ``loose``."""
+        first = self.i
+        self.i += 1
+        if t == "EXPLAIN":
+            if self.pg and self.at("(") and self.t[self.i + 1] not in ("SELECT", "WITH", "VALUES", "TABLE", "("):
+                self.brackets()
+            elif self.pg:
+                self.words("ANALYZE", "ANALYSE", "VERBOSE")
+            elif self.take("QUERY"):
+                self.need("PLAN")
+            self.statement()
+            return
+        if t == "PREPARE" and not self.at("TRANSACTION"):
+            self.name()
+            if self.at("("):
+                self.brackets()
+            self.need("AS")
+            self.statement()
+            return
+        if t == "DECLARE":
+            self.name()
+            self.words("BINARY", "INSENSITIVE", "ASENSITIVE", "NO", "SCROLL")
+            self.need("CURSOR")
+            if self.at("WITH", "WITHOUT"):
+                self.i += 1
+                self.need("HOLD")
+            self.need("FOR")
+            self.query()
+            return
+        if t == "DROP" and self.at("TABLE", "VIEW", "MATERIALIZED"):
+            self.take("MATERIALIZED")
+            self.i += 1
+            self.exists()
+            self.path()
+            while not self.lite and self.take(","):
+                self.path()
+            if self.pg:
+                self.words("CASCADE", "RESTRICT")
+            return
+        if t in ("CREATE", "ALTER"):
+            if self.take("OR"):
+                if not self.take("REPLACE"):
+                    self.need("ALTER")
+            self.words("TEMP", "TEMPORARY", "LOCAL", "GLOBAL", "UNLOGGED", "RECURSIVE", "MATERIALIZED")
+            kind = self.t[self.i]
+            if kind == "VIEW" and (t == "CREATE" or self.ts):
+                self.i += 1
+                self.view()
+                return
+            if kind == "TABLE":
+                self.i += 1
+                self.exists()
+                self.table() if t == "CREATE" else self.alter_table()
+                return
+            if self.ts and kind in ("PROC", "PROCEDURE", "FUNCTION", "TRIGGER"):
+                self.i += 1
+                self.module(kind)
+                return
+            if self.lite and kind == "TRIGGER":
+                self.i += 1
+                self.lite_trigger()
+                return
+        self.i = first
+        self.loose()
+
+    def view(self) -> None:
+        self.exists()
+        self.path()
+        if self.at("("):
+            self.names()
+        if self.pg and self.take("USING"):
+            self.name()
+        if self.take("WITH"):
+            self.brackets() if self.pg and self.at("(") else self.options()
+        if self.pg and self.take("TABLESPACE"):
+            self.name()
+        self.need("AS")
+        self.query()
+        if not self.lite and self.take("WITH"):
+            if self.pg and (self.at("DATA") or self.take("NO")):
+                self.need("DATA")
+            else:
+                self.pg and self.words("CASCADED", "LOCAL")
+                self.need("CHECK")
+                self.need("OPTION")
+
+    def options(self) -> None:
+        """Options of a T-SQL module: words, EXECUTE AS somebody."""
+        while True:
+            if self.at("EXEC", "EXECUTE"):
+                self.i += 1
+                self.need("AS")
+                if not self.take("'"):
+                    self.any_word()
+            elif self.at("RETURNS", "CALLED"):
+                while self.at("RETURNS", "CALLED", "NULL", "ON", "INPUT"):
+                    self.i += 1
+            else:
+                self.any_word()
+                if self.take("="):
+                    self.i += 1
+            if not self.take(","):
+                return
+
+    def parameters(self) -> None:
+        while True:
+            self.need("@")
+            self.take("AS")
+            self.type()
+            self.take("VARYING")
+            self.take("NOT")
+            self.take("NULL")
+            if self.take("="):
+                self.take("-") or self.take("+")
+                if not (self.take("0") or self.take("'") or self.take("NULL") or self.take("DEFAULT")):
+                    self.name()
+            self.words("OUT", "OUTPUT", "READONLY")
+            if not self.take(","):
+                return
+
+    def module(self, kind: str) -> None:
+        """A T-SQL procedure, function or trigger; its statements run up to GO or the end."""
+        self.path()
+        if kind == "TRIGGER":
+            self.need("ON")
+            if self.take("ALL"):
+                self.need("SERVER")
+            else:
+                self.path()
+            if self.take("WITH"):
+                self.options()
+            if self.take("INSTEAD"):
+                self.need("OF")
+            elif not self.take("FOR"):
+                self.need("AFTER")
+            self.any_word()
+            while self.take(","):
+                self.any_word()
+            if self.take("NOT"):
+                self.need("FOR")
+                self.need("REPLICATION")
+        elif kind == "FUNCTION":
+            self.need("(")
+            if not self.at(")"):
+                self.parameters()
+            self.need(")")
+            self.need("RETURNS")
+            if self.take("@"):
+                self.need("TABLE")
+                self.elements()
+            elif self.take("TABLE"):
+                if self.at("("):
+                    self.elements()
+            else:
+                self.type()
+            if self.take("WITH"):
+                self.options()
+        else:
+            if self.take(";"):
+                self.need("0")
+            wrapped = self.take("(")
+            if self.at("@"):
+                self.parameters()
+            if wrapped:
+                self.need(")")
+            if self.take("WITH"):
+                self.options()
+            if self.take("FOR"):
+                self.need("REPLICATION")
+        if kind == "FUNCTION":
+            self.take("AS")
+        else:
+            self.need("AS")
+        if self.take("EXTERNAL"):
+            self.loose()
+            return
+        if self.at("", "\n"):
+            self.fail()
+        self.statements()
+
+    def statements(self) -> None:
+        """Statements up to GO or the end."""
+        while not self.at("", "\n"):
+            if not self.take(";"):
+                self.statement()
+
+    def lite_trigger(self) -> None:
+        self.exists()
+        self.path()
+        if self.take("INSTEAD"):
+            self.need("OF")
+        else:
+            self.words("BEFORE", "AFTER")
+        if self.take("UPDATE"):
+            if self.take("OF"):
+                self.name()
+                while self.take(","):
+                    self.name()
+        elif not self.take("DELETE"):
+            self.need("INSERT")
+        self.need("ON")
+        self.name()
+        if self.take("FOR"):
+            self.need("EACH")
+            self.need("ROW")
+        if self.take("WHEN"):
+            self.value()
+        self.need("BEGIN")
+        while True:
+            if self.at("INSERT", "UPDATE", "DELETE", "REPLACE"):
+                self.dml()
+            else:
+                self.query()
+            self.need(";")
+            if self.take("END"):
+                return
+
+    def table(self) -> None:
+        """CREATE TABLE behind the word; options behind the columns by ``loose``."""
+        self.path()
+        if self.pg and self.at("PARTITION", "OF") or self.ts and self.at("AS") and self.t[self.i + 1] in ("FILETABLE", "NODE", "EDGE"):
+            self.loose()
+            return
+        if self.at("(") and not (self.pg and self.table_names()):
+            self.elements()
+            if self.at(";", "", "\n") or self.ts and self.t[self.i] in _STATEMENT - {"WITH"}:
+                return
+            if self.lite:
+                while True:
+                    if self.take("WITHOUT"):
+                        self.name()
+                    else:
+                        self.need("STRICT")
+                    if not self.take(","):
+                        return
+            self.i -= 1
+            while not self.at("", ";", "\n") and not (self.ts and self.begins_statement(self.i)):
+                self.i += 1
+                if self.at("("):
+                    self.brackets()
+                    self.i -= 1
+                elif self.at(")"):
+                    self.fail()
+            return
+        if self.ts:
+            self.fail()
+        while self.pg and not self.at("", ";", "AS"):
+            self.brackets() if self.at("(") else self.any_word()
+        self.need("AS")
+        if self.pg and self.at("EXECUTE"):
+            self.loose()
+            return
+        self.query()
+        if self.pg and self.take("WITH"):
+            self.take("NO")
+            self.need("DATA")
+
+    def table_names(self) -> bool:
+        """Names of columns in brackets before AS, without types."""
+        k = self.i + 1
+        while self.t[k] not in ("", ")"):
+            if not (self.is_name(self.t[k]) and self.t[k + 1] in (",", ")")):
+                return False
+            k += 1 + (self.t[k + 1] == ",")
+        if self.t[k] == ")" and k > self.i + 1:
+            self.i = k + 1
+            return True
+        return False
+
+    def elements(self) -> None:
+        self.need("(")
+        if self.pg and self.take(")"):
+            return
+        while True:
+            self.element()
+            if self.take(","):
+                if self.ts and self.take(")"):  # T-SQL allows a last comma
+                    return
+            elif not self.at("CONSTRAINT", "PRIMARY", "UNIQUE", "CHECK", "FOREIGN") or self.pg:  # these need no comma
+                break
+        self.need(")")
+
+    def element(self) -> None:
+        """A column or a constraint of a table."""
+        if self.at("CONSTRAINT", "PRIMARY", "UNIQUE", "CHECK", "FOREIGN", "EXCLUDE", "LIKE", "INDEX", "PERIOD") and self.t[self.i + 1] not in (",", ")"):
+            if self.at("EXCLUDE", "LIKE", "INDEX", "PERIOD"):
+                self.i += 1
+                if self.at(",", ")"):
+                    self.fail()
+                self.rest()
+                return
+            self.attributes()
+            return
+        self.name()
+        if self.ts and self.take("AS"):
+            self.value()
+        elif not (self.lite and not self.is_name(self.t[self.i])) and not (self.ts and self.at(",", ")") and self.src[self.i - 1].upper() == "TIMESTAMP"):
+            self.type()
+        self.attributes()
+
+    def rest(self) -> None:
+        """Any tokens up to the end of an element."""
+        while not self.at("", ";", ",", ")"):
+            if self.at("("):
+                self.brackets()
+            else:
+                self.i += 1
+
+    def attributes(self) -> None:
+        """Constraints of a column or a table."""
+        while not self.at("", ";", ",", ")"):
+            t = self.t[self.i]
+            if self.ts and (t == "FOR" or t in _STATEMENT - {"WITH"}):
+                return
+            self.i += 1
+            if t == "CONSTRAINT":
+                self.name()
+                if self.at(",", ")", "", ";"):
+                    self.fail()
+            elif t == "CHECK":
+                if self.ts:
+                    if self.take("NOT"):
+                        self.need("FOR")
+                        self.need("REPLICATION")
+                self.need("(")
+                self.condition()
+                self.need(")")
+            elif t == "DEFAULT":
+                self.default()
+            elif t == "NOT":
+                if self.take("FOR"):
+                    self.need("REPLICATION")
+                elif not self.at("DEFERRABLE", "VALID", "ENFORCED"):
+                    self.need("NULL")
+                else:
+                    self.i += 1
+            elif t == "PRIMARY":
+                self.need("KEY")
+                self.key()
+            elif t == "UNIQUE":
+                if self.pg and self.take("NULLS"):
+                    self.take("NOT")
+                    self.need("DISTINCT")
+                self.key()
+            elif t == "FOREIGN":
+                self.need("KEY")
+                if self.at("("):
+                    self.names()
+                if not self.at("REFERENCES"):
+                    self.fail()
+            elif t == "REFERENCES":
+                self.path()
+                if self.at("("):
+                    self.names()
+                while self.at("ON", "MATCH"):
+                    if self.take("MATCH"):
+                        self.any_word()
+                        continue
+                    self.i += 1
+                    if not self.take("DELETE"):
+                        self.need("UPDATE")
+                    if self.take("NO"):
+                        self.need("ACTION")
+                    elif self.take("SET"):
+                        if not self.take("NULL"):
+                            self.need("DEFAULT")
+                        if self.pg and self.at("("):
+                            self.names()
+                    elif not self.take("CASCADE"):
+                        self.need("RESTRICT")
+            elif t == "COLLATE":
+                self.path()
+            elif t == "AS" and not self.ts and not (self.pg and self.at("IDENTITY")):
+                self.need("(")
+                self.value()
+                self.need(")")
+                self.take("STORED") or self.take("VIRTUAL")
+            elif t == "ON" and self.lite:
+                self.need("CONFLICT")
+                self.any_word()
+            elif t in _ATTRIBUTES[self.d]:
+                if self.at("("):
+                    self.brackets()
+            else:
+                self.i -= 1
+                self.fail()
+
+    def key(self) -> None:
+        """What may follow PRIMARY KEY and UNIQUE."""
+        self.words("CLUSTERED", "NONCLUSTERED", "HASH", "ASC", "DESC")
+        if self.at("("):
+            self.need("(")
+            while True:
+                self.value() if self.lite else self.column()
+                self.words("ASC", "DESC")
+                if not self.take(","):
+                    break
+            self.need(")")
+
+    def default(self) -> None:
+        """A literal, a call or brackets; in T-SQL and PostgreSQL a value of a higher rank than comparison."""
+        if self.lite:
+            if self.take("("):
+                self.value()
+                self.need(")")
+            else:
+                self.take("-") or self.take("+")
+                if not (self.take("0") or self.take("'")):
+                    self.any_word()
+        else:
+            self.sum()
+
+    def alter_table(self) -> None:
+        if self.pg:
+            self.take("ONLY")
+        self.path()
+        if self.pg:
+            self.take("*")
+        if self.ts and self.take("WITH"):
+            if not self.take("CHECK"):
+                self.need("NOCHECK")
+        if self.at("", ";", "\n"):
+            self.fail()
+        while True:
+            if self.take("ADD"):
+                if not self.ts:
+                    self.take("COLUMN")
+                    self.exists()
+                self.element()
+                if self.ts and self.at("FOR"):
+                    self.i += 1
+                    self.name()
+                    self.take("WITH") and self.need("VALUES")
+            elif self.take("DROP"):
+                self.take("COLUMN") or self.take("CONSTRAINT")
+                self.exists()
+                self.name()
+                if self.pg:
+                    self.words("CASCADE", "RESTRICT")
+            elif self.ts and self.at("ALTER") and self.t[self.i + 1] == "COLUMN":
+                self.i += 2
+                self.name()
+                if self.at("ADD", "DROP"):
+                    self.i += 1
+                    self.any_word()
+                else:
+                    self.type()
+                    self.attributes()
+            elif self.lite:
+                self.need("RENAME")
+                if not self.take("TO"):
+                    self.take("COLUMN")
+                    self.name()
+                    self.need("TO")
+                self.name()
+            else:
+                self.loose()
+                return
+            if self.lite or not self.take(","):
+                return
+            if self.ts:
+                # further elements of the same ADD or DROP stand without the word
+                if not self.at("ADD", "DROP", "ALTER"):
+                    while True:
+                        self.take("COLUMN")
+                        self.element() if not self.t[self.i + 1] in (",", ";", "", "\n") and self.t[self.i + 1] not in _STATEMENT else self.name()
+                        if not self.take(","):
+                            return
+
     def ts_statement(self, t: str) -> None:
         self.i += 1
         if t == "DECLARE":
             if self.is_name(self.t[self.i]):
-                self.loose()
+                self.name()
+                self.cursor()
                 return
             while True:
                 self.need("@")
@@ -1302,8 +1886,8 @@ class _Parser:
                 if not self.at("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="):
                     self.fail()
                 self.i += 1
-                if self.take("CURSOR"):
-                    self.loose()
+                if self.at("CURSOR"):
+                    self.cursor()
                 else:
                     self.value()
             elif self.take("TRANSACTION"):
