@@ -165,6 +165,67 @@ def _plain(text: str) -> bool:
     return True
 
 
+# A drawn line; letters that were misread as one would stand beside others.
+DRAWN = re.compile("(?<!\\w)[\u2500-\u259f]{2,}(?!\\w)")
+
+
+def _swap(text: str, wrong: str, meant: str) -> str | None:
+    raw = None if DRAWN.search(text) else _table(wrong).encode(text)
+    try:
+        return raw.decode(meant) if raw else None
+    except UnicodeDecodeError:
+        return None
+
+
+# A word with a character beyond ASCII, and a line.
+WORD_RUN = re.compile(r"[^\s\x00-\x2c\x2e\x2f:-@\[-`{-\x7f]*[^\x00-\x7f\s][^\s\x00-\x2c\x2e\x2f:-@\[-`{-\x7f]*")
+LINE = re.compile(r"[^\r\n]+")
+
+
+def _excess(text: str, cost: float) -> float:
+    """What a one-byte swap can lower the cost by, at most: it keeps the number of characters beyond ASCII, and each costs 0.5 at least."""
+    return cost - 0.5 * len(NON_ASCII.findall(text))
+
+
+def _unswap(text: str, wrong: str, meant: str) -> tuple[str, int]:
+    """The text with each line swapped that was misread as a whole, else each word of it that was, and how many characters those held.
+
+    A run counts when its own cost drops by 1 and its result is plain; a word must also hold an ASCII letter and give letters only.
+    """
+    covered = 0
+
+    def better(run: str, before: str, after: str) -> str | None:
+        new = _swap(run, wrong, meant)
+        if not new or new == run or not _plain(new):
+            return None
+        return new if garbling_cost(before + new + after) <= garbling_cost(before + run + after) - 1 else None
+
+    def word(m: re.Match) -> str:
+        nonlocal covered
+        run = m[0]
+        a, b = m.string[max(0, m.start() - 1) : m.start()], m.string[m.end() : m.end() + 1]
+        if _excess(a + run + b, garbling_cost(a + run + b)) < 1:
+            return run
+        new = better(run, a, b)
+        if not new or not any(c.isalpha() and c < "\x80" for c in run) or not all(c.isalpha() for c in NON_ASCII.findall(new)):
+            return run
+        covered += len(run)
+        return new
+
+    def line(m: re.Match) -> str:
+        nonlocal covered
+        run, held = m[0], covered
+        if run.isascii() or _excess(run, garbling_cost(run)) < 1:
+            return run
+        parts, new = WORD_RUN.sub(word, run), better(run, "", "")
+        if new and garbling_cost(new) <= garbling_cost(parts):
+            covered = held + len(run)
+            return new
+        return parts
+
+    return LINE.sub(line, text), covered
+
+
 def repair(text: str | None) -> tuple[str | None, str]:
     """The restored text and the chain of wrong encodings, outermost first."""
     if not text or text.isascii():
@@ -177,14 +238,15 @@ def repair(text: str | None) -> tuple[str | None, str]:
             new, covered = _unutf8(text, _table(e), 1.0 if e in ("cp1251", "cp1250") else 0.25)
             if covered and (c := garbling_cost(new)) < now - 0.2:
                 found.append((-covered, c, len(found), new, e))
-        if not found:
+        if not found and _excess(text, now) >= 1:
+            for wrong, meant in SINGLE_AS:
+                new = _swap(text, wrong, meant)
+                if new and new != text and (c := garbling_cost(new)) <= now - 1 and _plain(new):
+                    found.append((0, c, len(found), new, f"{wrong}>{meant}"))
+            # of results as likely, a swap of everything is the simpler one
             for wrong, meant in SINGLE_AS:
-                raw = _table(wrong).encode(text)
-                try:
-                    new = raw.decode(meant) if raw else text
-                except UnicodeDecodeError:
-                    continue
-                if new != text and (c := garbling_cost(new)) <= now - 1 and _plain(new):
+                new, covered = _unswap(text, wrong, meant)
+                if covered and (c := garbling_cost(new)) <= now - 1:
                     found.append((0, c, len(found), new, f"{wrong}>{meant}"))
         if not found:
             break

@@ -5,9 +5,12 @@ from itertools import combinations
 import pytest
 
 from lexigrid.llm import pairs
+from lexigrid.llm.garbled import SINGLE_AS, is_garbled
 from lexigrid.llm.queries import QUERIES
 from lexigrid.llm.sqlgrammar import check
 
+from .test_garbled import CLEAN, _misread
+
 
 def test_every_pair_has_a_lift(spark, tmp_path):
     baskets = {k: {f"t{k % 7}", f"t{k % 5}", f"u{k}"} for k in range(30)}
@@ -65,3 +68,18 @@ def test_definitions_that_parse(dialect, text):
 @pytest.mark.parametrize("dialect, text", INVALID)
 def test_definitions_that_do_not_parse(dialect, text):
     assert not check(text, dialect)[0]
+
+
+@pytest.mark.parametrize("rest", ["-- não\n", "├── staging\n", "月次 一覧\n", "👩🏽‍💻 wrote it\n", "-- Größe – “held”\n"])
+@pytest.mark.parametrize("wrong, meant", SINGLE_AS)
+def test_one_byte_swap_of_a_part(rest, wrong, meant):
+    bad = _misread("descrição", wrong, meant)
+    for text in (f"{rest}SELECT 1 -- {bad} x\n", f"{rest[:-1]} {bad} x"):
+        assert is_garbled(text)[:2] == (True, text.replace(bad, "descrição"))
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_text_in_parts_stays(text):
+    for other in CLEAN:
+        both = f"{text}\n{other} {text}"
+        assert is_garbled(both) == (False, both, "")
