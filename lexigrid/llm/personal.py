@@ -68,12 +68,12 @@ IB_WORDS = [w.lower().replace("\\", "") for w in IBERIAN_WAYS.split("|")]
 DE_WORDS = [w.lower().replace("\\", "") + " " for w in DE_WAYS.split("|")]
 ADDRESS_BEFORE = re.compile(r"(?:\b(?:address|adresse|anschrift|dirección|direccion|endereço|endereco|domicilio|domicílio|morada|lives at|living at|mora (?:na|no|em)|vive en|wohnt|ship to|deliver to|entregar em|enviar a|lieferung an|lieferung|the tenant at|resides at|reside en|reside na|located at|visit)\b[\s:=\"']{0,4}(?:in der |an der |am |im )?|address\w*['\" ]{0,2}(?:=|:)\s?['\"])$", re.I)
 
-PARTICLE = r"(?:d[aeo]s?|del|de la|de los|von|van|di|du|der|zu)"
+PARTICLE = r"(?:d[aeo]s?|del|de la|de l[ao]s|von|van|di|du|der|zu)"
 PART = r"(?:\p{Lu}\p{Ll}+(?:['’]\p{Lu}\p{Ll}+)?|\p{Lu}['’]\p{Lu}\p{Ll}+)(?:-\p{Lu}\p{Ll}+)*"
 CAPS = r"\p{Lu}{2,}(?:['’-]\p{Lu}{2,})*"
 NAME = re.compile(
-    rf"(?<![\w.\-/@])(?<!\w['’])(?:(?:\p{{Lu}}\.[  ]?){{1,2}}(?:{PARTICLE}[  ]+)?{PART}(?:[  ]+{PART})?|(?:\p{{Lu}}\.[  ]?){{1,2}}{CAPS}(?:[  ]+{CAPS})?|(?:{PART}(?:[  ]+{PARTICLE})?[  ]+){{1,3}}{PART}|{PART}(?:[  ]+(?:{PARTICLE}[  ]+)?{PART})?,[  ]+{PART}(?:[  ]{PART})?"
-    rf"|(?:{CAPS}(?:[  ]+{PARTICLE.upper()}|[  ]+{PARTICLE})?[  ]+){{1,3}}{CAPS}|{CAPS}(?:[  ]+{CAPS})?,[  ]+{CAPS})(?![\w_@]|\.\w)"
+    rf"(?<![\w.\-/@])(?<!\w['’])(?:(?:\p{{Lu}}\.[  ]?){{1,2}}(?:{PARTICLE}[  ]+)?{PART}(?:[  ]+(?:{PARTICLE}[  ]+)?{PART})*|(?:\p{{Lu}}\.[  ]?){{1,2}}{CAPS}(?:[  ]+{CAPS})?|(?:{PART}(?:[  ]+{PARTICLE})?[  ]+)+{PART}|{PART}(?:[  ]+(?:{PARTICLE}[  ]+)?{PART})?,[  ]+{PART}(?:[  ]{PART})?"
+    rf"|(?:{CAPS}(?:[  ]+{PARTICLE.upper()}|[  ]+{PARTICLE})?[  ]+)+{CAPS}|{CAPS}(?:[  ]+{CAPS})?,[  ]+{CAPS})(?![\w_@]|\.\w)"
 )
 NAME_BEFORE = re.compile(
     r"(?:\b(?:dr|dra|eng|engª|engº|lic|ing|prof|profa|sr|sra|srta|mr|mrs|ms|miss|sir|d|dª|don|doña|frau|herrn?|dipl)\b\.?(?:-ing\.?)? ?"
@@ -209,12 +209,27 @@ def _address(text):
 def _name(text):
     at = 0
     while m := NAME.search(text, at):
-        start, end = m.span()
-        # a name is read again behind common words that came before it
-        while (w := _RUN.match(text[start:end])) and _plain(w[0]) and (again := NAME.search(text, start + w.end())) and again.start() < end:
-            start, end = again.span()
-        yield from _name_at(text, start, end)
-        at = end
+        start, at = m.span()
+        # names are read again between the common words of a run
+        words = [(w.start() + start, w.end() + start) for w in _RUN.finditer(m[0])]
+        cuts = [w for i, w in enumerate(words) if _plain(text[w[0] : w[1]]) and not (i and _particle(text, words, i))]
+        if not cuts:
+            yield from _name_at(text, start, at)
+            continue
+        for begin, (stop, _) in zip([start, *(b for _, b in cuts[:-1])], cuts):
+            while part := NAME.search(text, begin, stop):
+                begin = part.end()
+                yield from _name_at(text, *part.span())
+        last = NAME.search(text, cuts[-1][1])
+        if last and last.start() < at and not _plain(_RUN.match(last[0])[0]):
+            at = last.end()
+            yield from _name_at(text, *last.span())
+
+
+def _particle(text, words, i):
+    """Whether a word of a name is a particle, la, las and los behind de included."""
+    w = text[words[i][0] : words[i][1]]
+    return bool(_PARTICLE.fullmatch(w)) or i > 0 and w.lower() in ("la", "las", "los") and text[words[i - 1][0] : words[i - 1][1]].lower() == "de"
 
 
 def _name_at(text, start, end):
@@ -223,10 +238,10 @@ def _name_at(text, start, end):
     # a cue word or a common word may have been swallowed at either end
     while words and _plain(text[words[0][0] : words[0][1]]):
         words.pop(0)
-    cut = next((i for i, (a, b) in enumerate(words) if _plain(text[a:b]) and not _PARTICLE.fullmatch(text[a:b])), None)
+    cut = next((i for i, (a, b) in enumerate(words) if _plain(text[a:b]) and not _particle(text, words, i)), None)
     if cut is not None:
         words = words[:cut]
-    while words and _PARTICLE.fullmatch(text[words[-1][0] : words[-1][1]]):
+    while words and _particle(text, words, len(words) - 1):
         words.pop()
     while words and _PARTICLE.fullmatch(text[words[0][0] : words[0][1]]):
         words.pop(0)
@@ -247,9 +262,9 @@ def _name_at(text, start, end):
         score += 2
     elif any(given) and "," in text[start:end]:
         score += 2
-    if len(words) <= 4 and score >= THRESHOLD:
+    if score >= THRESHOLD:
         yield start, end, score
-    elif given[0] and len(words) <= 4 and not _BARE.search(before):
+    elif given[0] and not _BARE.search(before):
         yield start, end, THRESHOLD
 
 

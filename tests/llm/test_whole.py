@@ -6,6 +6,7 @@ import pytest
 
 from lexigrid.llm import pairs
 from lexigrid.llm.garbled import SINGLE_AS, is_garbled
+from lexigrid.llm.personal import redact
 from lexigrid.llm.queries import QUERIES
 from lexigrid.llm.sqlgrammar import check
 
@@ -83,3 +84,19 @@ def test_clean_text_in_parts_stays(text):
     for other in CLEAN:
         both = f"{text}\n{other} {text}"
         assert is_garbled(both) == (False, both, "")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Falei com Sr. Maria Clara de Souza Lima ontem", "Falei com Sr. [NAME] ontem"),
+        ("Ana Paula da Silva Santos ligou", "[NAME] ligou"),
+        ("Sr. Juan Carlos de la Cruz", "Sr. [NAME]"),
+        ("Dear Maria Clara Souza Lima Santos Pereira, thanks", "Dear [NAME], thanks"),
+        ("SRA. MARIA CLARA DE SOUZA LIMA SANTOS", "SRA. [NAME]"),
+        ("Sr. J. P. Souza Lima Costa Neto", "Sr. [NAME]"),
+        ("Dear Anna Smith The Report By Maria Clara Souza", "Dear [NAME] The Report By [NAME]"),
+    ],
+)
+def test_names_of_any_length(text, want):
+    assert redact(text) == want
