@@ -13,6 +13,8 @@ from . import fts
 
 # Fixed value: the form of a filter within a search string.
 FILTER = r"(?:^|\s)(table|col|tag|date):(\S+)"
+# The same for columns, where Java doesn't count U+001C to U+001F as blanks.
+COLUMN_FILTER = "(?U)" + FILTER.replace(r"\s", r"[\s\x1C-\x1F]").replace(r"\S", r"[^\s\x1C-\x1F]")
 SORTS = {
     "name_asc": [("lower(title)", True)],
     "name_desc": [("lower(title)", False)],
@@ -31,16 +33,16 @@ def parse(text: str) -> tuple[dict[str, list[str]], str]:
 
 def parse_column(c: Column) -> dict[str, Column]:
     """The same for a column of search strings: one array per key, and the free text."""
-    keys = F.regexp_extract_all(c, F.lit("(?U)" + FILTER), F.lit(1))
-    values = F.regexp_extract_all(c, F.lit("(?U)" + FILTER), F.lit(2))
+    keys = F.regexp_extract_all(c, F.lit(COLUMN_FILTER), F.lit(1))
+    values = F.regexp_extract_all(c, F.lit(COLUMN_FILTER), F.lit(2))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
 
     def of(key: str) -> Column:
         return F.transform(F.filter(pairs, lambda p: p["k"] == key), lambda p: p["v"])
 
     out = {k: of(k) for k in ("table", "col", "tag", "date")}
-    rest = F.regexp_replace(c, "(?U)" + FILTER, "")
-    return out | {"free_text": F.regexp_replace(rest, r"(?U)^\s+|\s+$", "")}
+    rest = F.regexp_replace(c, COLUMN_FILTER, "")
+    return out | {"free_text": F.regexp_replace(rest, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")}
 
 
 def day_bounds(day: str, zone: datetime.tzinfo = datetime.timezone.utc) -> tuple[int, int] | None:

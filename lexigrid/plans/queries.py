@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as fx
 from ..operators import collections as coll, fts, index, search
@@ -150,6 +150,10 @@ _TEXT = "'table:' || coalesce(title, '') || ' tag:' || dialect || ' ' || coalesc
 _FIND = r"(^|[\s])(table|col|tag|date):(\S+)"
 
 
+def _search_text() -> Column:
+    return F.concat(F.lit("table:"), F.coalesce("title", F.lit("")), F.lit(" tag:"), "dialect", F.lit(" "), F.coalesce("description", F.lit("")), F.lit(" date:"), F.coalesce("created_at", F.lit("-")))
+
+
 @query(
     f"""SELECT id, array_to_string(list_transform(list_filter(list_zip(regexp_extract_all(t, '{_FIND}', 2), regexp_extract_all(t, '{_FIND}', 3)), lambda p: p[1] = 'tag'), lambda p: p[2]), '|') AS tags,
 array_to_string(list_transform(list_filter(list_zip(regexp_extract_all(t, '{_FIND}', 2), regexp_extract_all(t, '{_FIND}', 3)), lambda p: p[1] = 'table'), lambda p: p[2]), '|') AS tables
@@ -157,8 +161,14 @@ FROM (SELECT id, regexp_replace({_TEXT}, '[^ -~]', '', 'g') AS t FROM q)"""
 )
 def search_parse(spark: SparkSession, d: str) -> DataFrame:
     """P1 on a column of search strings."""
-    text = F.concat(F.lit("table:"), F.coalesce("title", F.lit("")), F.lit(" tag:"), "dialect", F.lit(" "), F.coalesce("description", F.lit("")), F.lit(" date:"), F.coalesce("created_at", F.lit("-")))
-    p = search.parse_column(F.regexp_replace(text, "[^ -~]", ""))
+    p = search.parse_column(F.regexp_replace(_search_text(), "[^ -~]", ""))
+    return cat.queries(spark, d).select("id", F.array_join(p["tag"], "|").alias("tags"), F.array_join(p["table"], "|").alias("tables"))
+
+
+@query()
+def search_parse_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the search strings as they stand; search_parse takes their ASCII characters only, as its SQL does."""
+    p = search.parse_column(_search_text())
     return cat.queries(spark, d).select("id", F.array_join(p["tag"], "|").alias("tags"), F.array_join(p["table"], "|").alias("tables"))
 
 

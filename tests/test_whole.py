@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 from lexigrid.functions import text as t
+from lexigrid.operators.search import parse
 from lexigrid.plans.queries import QUERIES
 
 TITLES = [
@@ -33,3 +34,14 @@ def test_every_title_has_a_file_name(spark, tmp_path):
 
 def test_stem_of_characters_outside_latin_1(spark):
     assert [r[0] for r in spark.createDataFrame([(v,) for v in TITLES], "v string").select(t.safe_filename(t.F.col("v"))).collect()] == [_stem(v) for v in TITLES]
+
+
+def test_search_strings_as_they_stand(spark, tmp_path):
+    texts = ["Relatório", "Rückstände\u00a0tag:né", "月次\u3000table:一覧 x", "a\u2003tag:Größe\u2028table:b", "é\x85tag:x", "plain", None, "a\x1ctag:sep", "–table:no", "x\u200btag:no"]
+    rows = [(k, v, "tsql", v and f"{v} table:ção", None if k % 2 else "2024-01-02") for k, v in enumerate(texts)]
+    spark.createDataFrame(rows, "id long, title string, dialect string, description string, created_at string").write.parquet(f"{tmp_path}/queries.parquet")
+    want = {}
+    for k, title, dialect, about, created in rows:
+        found, _ = parse(f"table:{title or ''} tag:{dialect} {about or ''} date:{created or '-'}")
+        want[k] = ("|".join(found["tag"]), "|".join(found["table"]))
+    assert {r["id"]: (r["tags"], r["tables"]) for r in QUERIES["search_parse_whole"](spark, str(tmp_path)).collect()} == want
