@@ -8,10 +8,17 @@ definitions are checked for balanced brackets only, by ``_Parser.loose``.
 from __future__ import annotations
 
 import re
+import sys
+import threading
 
 DIALECTS = ("tsql", "postgres", "sqlite")
 
 
+# Fixed value: levels of nesting that the first parse follows.
+CAP = 150
+_DEEP = threading.Lock()
+
+
 class Invalid(Exception):
     """Not a valid script; args: reason, token index."""
 
@@ -173,7 +180,7 @@ class _Parser:
         self.ts, self.pg, self.lite = dialect == "tsql", dialect == "postgres", dialect == "sqlite"
         self.reserved, self.binary = RESERVED[dialect], _BINARY[dialect]
         self.no_alias, self.callable = NO_ALIAS[dialect], CALLABLE[dialect]
-        self.deep = 0
+        self.deep, self.cap = 0, CAP
 
     # -- small steps ---------------------------------------------------------
     def fail(self, why: str = "syntax"):
@@ -272,7 +279,7 @@ class _Parser:
 
     def expr(self) -> bool:
         self.deep += 1
-        if self.deep > 150:
+        if self.deep > self.cap:
             raise Invalid("deep", self.i)
         c = self.conj()
         while self.take("OR"):
@@ -747,7 +754,7 @@ class _Parser:
 
     def query(self) -> None:
         self.deep += 1
-        if self.deep > 150:
+        if self.deep > self.cap:
             raise Invalid("deep", self.i)
         if self.at("WITH"):
             self.ctes()
@@ -1263,7 +1270,7 @@ class _Parser:
 
     def statement(self) -> None:
         self.deep += 1
-        if self.deep > 150:
+        if self.deep > self.cap:
             raise Invalid("deep", self.i)
         t = self.t[self.i]
         if t in ("SELECT", "WITH", "(") or t in ("VALUES", "TABLE") and not self.ts:
@@ -1906,11 +1913,16 @@ class _Parser:
         elif t in ("IF", "WHILE"):
             self.condition()
             self.statement()
-            if t == "IF":
+            while t == "IF":  # a ladder of ELSE IF needs no depth
                 if self.at(";") and self.t[self.i + 1] == "ELSE":
                     self.i += 1
-                if self.take("ELSE"):
+                if not self.take("ELSE"):
+                    break
+                if not self.take("IF"):
                     self.statement()
+                    break
+                self.condition()
+                self.statement()
         elif t == "BEGIN":
             if self.at("TRAN", "TRANSACTION", "DISTRIBUTED"):
                 self.i += 1
@@ -1985,11 +1997,41 @@ def check(text: str | None, dialect: str) -> tuple[bool, str, float]:
         toks, src = tokens(text, dialect)
     except Invalid as e:
         return False, e.args[0], 0.0
-    p = _Parser(toks, src, dialect)
     try:
-        p.script()
+        try:
+            _Parser(toks, src, dialect).script()
+        except Invalid as e:
+            if e.args[0] != "deep":
+                raise
+            _deep(toks, src, dialect)
+        except RecursionError:
+            _deep(toks, src, dialect)
     except Invalid as e:
         return False, e.args[0], e.args[1] / max(1, len(toks))
-    except RecursionError:
-        return False, "deep", 0.0
     return True, "", 1.0
+
+
+def _deep(toks: list[str], src: list[str], dialect: str) -> None:
+    """Parses a script with deep nesting in a thread of its own, whose stack suffices for as many levels as there are tokens."""
+    failed: list[BaseException] = []
+
+    def run() -> None:
+        p = _Parser(toks, src, dialect)
+        p.cap = len(toks) + 10
+        try:
+            p.script()
+        except BaseException as e:
+            failed.append(e)
+
+    with _DEEP:
+        limit, stack = sys.getrecursionlimit(), threading.stack_size(256 << 20)
+        sys.setrecursionlimit(max(limit, 20 * len(toks) + 1000))
+        try:
+            thread = threading.Thread(target=run)
+            thread.start()
+            thread.join()
+        finally:
+            sys.setrecursionlimit(limit)
+            threading.stack_size(stack)
+    if failed:
+        raise failed[0]

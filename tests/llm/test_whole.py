@@ -100,3 +100,17 @@ def test_clean_text_in_parts_stays(text):
 )
 def test_names_of_any_length(text, want):
     assert redact(text) == want
+
+
+DEEP = [
+    ("tsql", "IF @a = 1 SELECT 1 " + "ELSE IF @a = 2 SELECT 2 " * 600 + "ELSE SELECT 3"),
+    *[(d, "SELECT " + "(" * 600 + "1" + ")" * 600) for d in ("tsql", "postgres", "sqlite")],
+    *[(d, "SELECT " + "CASE WHEN a = 1 THEN " * 300 + "1" + " END" * 300 + " FROM t") for d in ("tsql", "postgres", "sqlite")],
+    ("tsql", "BEGIN " * 400 + "SELECT 1 " + "END " * 400),
+]
+
+
+@pytest.mark.parametrize("dialect, text", DEEP)
+def test_deep_nesting_gets_an_answer(dialect, text):
+    assert check(text, dialect)[:2] == (True, "")
+    assert not check(text[:-1] if text[-1] == ")" else text + " WHERE )", dialect)[0]
