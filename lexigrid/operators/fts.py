@@ -4,9 +4,9 @@ A term of the search text is a phrase of its tokens; tokens must be adjacent
 within one column, the last is a prefix; all terms must occur in the row.
 Statistics are those of the whole index of a project, before any other filter.
 
-Two physical forms: ``score`` scans texts with JVM expressions alone (no
-explode; one aggregate per project), and ``postings`` writes the inverted index
-that ``score_postings`` reads by token range.
+Two physical forms: ``score_postings`` reads the token ranges of a search from
+the stored inverted index (``postings`` and ``statistics``), and ``score`` scans
+texts with JVM expressions alone where there is no index.
 
 Defined results: a term without a token is ignored; if no term has one the
 result is empty; a term with a double quote makes the search empty; null columns
@@ -60,7 +60,7 @@ def score(docs: DataFrame, text: str, key: str = "query_id") -> DataFrame:
         return docs.select("project", key, F.lit(0.0).alias("rank")).where(F.lit(False))
     arrays = docs.select("project", key, *[tokens(F.col(c)).alias(c) for c in COLUMNS])
     counts = [sum((instances(F.col(c), p) for c in COLUMNS[1:]), instances(F.col(COLUMNS[0]), p)).alias(f"f{k}") for k, p in enumerate(terms)]
-    rows = arrays.select("project", key, sum((F.size(c) for c in COLUMNS[1:]), F.size(COLUMNS[0])).alias("d"), *counts)
+    rows = arrays.select("project", key, _length().alias("d"), *counts)
     # one narrow row per file, also if it was delivered twice; statistics and hits share this exchange, so texts are read once
     rows = rows.dropDuplicates(["project", key])
     return _rank(rows, rows.groupBy("project").agg(*_statistics(len(terms))), len(terms), key)
@@ -81,34 +81,54 @@ def _rank(rows: DataFrame, stats: DataFrame, k: int, key: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "query_id") -> DataFrame:
-    """project, key, field, pos, token: one row per token, range-partitioned and sorted by token.
+    """project, token, key, field, pos, d: one row per token of a file, with the number of all tokens of the file.
 
-    Written as Parquet, a prefix reads only the row groups of its range.
+    Stored sorted by project, token and key (``ORDER``), so that a prefix reads
+    only the row groups of its range and needs no other table of the files.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(c)).alias("t")) for c in COLUMNS])).alias("c")
-    rows = docs.dropDuplicates(["project", key]).select("project", key, cells).select("project", key, "c.field", F.posexplode("c.t").alias("pos", "token"))
-    return rows.repartitionByRange("token", key).sortWithinPartitions("token", key)
+    one = docs.dropDuplicates(["project", key]).select("project", key, *[tokens(F.col(c)).alias(c) for c in COLUMNS])
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("t")) for c in COLUMNS])
+    rows = one.select("project", key, _length().alias("d"), F.explode(cells).alias("c"))
+    return rows.select("project", key, "d", "c.field", F.posexplode("c.t").alias("pos", "token")).select("project", "token", key, "field", "pos", "d")
 
 
-def lengths(docs: DataFrame, key: str = "query_id") -> DataFrame:
-    """project, key, d: number of tokens over the four columns."""
-    rows = docs.select("project", key, sum((F.size(tokens(F.col(c))) for c in COLUMNS[1:]), F.size(tokens(F.col(COLUMNS[0])))).alias("d"))
-    return rows.dropDuplicates(["project", key])
+ORDER = ["token", "query_id"]
 
 
-def score_postings(index: DataFrame, sizes: DataFrame, text: str, key: str = "query_id") -> DataFrame:
-    """The result of ``score`` from stored postings and lengths; tokens of a phrase meet by equi-join on row and place."""
+def _length() -> Column:
+    return reduce(lambda a, b: a + b, [F.size(c).cast("long") for c in COLUMNS])
+
+
+def statistics(docs: DataFrame, key: str = "query_id") -> DataFrame:
+    """project, n, mean: files of each project and their mean number of tokens."""
+    rows = docs.select("project", key, *[tokens(F.col(c)).alias(c) for c in COLUMNS]).select("project", key, _length().alias("d")).dropDuplicates(["project", key])
+    return rows.groupBy("project").agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+
+
+def score_postings(index: DataFrame, stats: DataFrame, text: str, key: str = "query_id") -> DataFrame:
+    """The result of ``score`` from stored postings and statistics.
+
+    One scan of the tokens that the search names; a token of a phrase votes for
+    the place where the phrase would begin, and a place with all votes is an
+    instance.  Both counts need one exchange by file.
+    """
     terms = phrases(text)
     if terms is None:
-        return sizes.select("project", key, F.lit(0.0).alias("rank")).where(F.lit(False))
-    rows = sizes
+        return index.select("project", key, F.lit(0.0).alias("rank")).where(F.lit(False))
+    votes = []
     for i, p in enumerate(terms):
-        part = index.where(F.col("token").startswith(p[-1]) if len(p) == 1 else F.col("token") == p[0]).select("project", key, "field", F.col("pos").alias("at"))
-        for k, w in enumerate(p[1:], 1):
-            own = F.col("token").startswith(w) if k == len(p) - 1 else F.col("token") == w
-            part = part.join(index.where(own).select("project", key, "field", (F.col("pos") - k).alias("at")), ["project", key, "field", "at"])
-        rows = rows.join(part.groupBy("project", key).agg(F.count("*").alias(f"f{i}")), ["project", key], "left").fillna(0, [f"f{i}"])
-    return _rank(rows, rows.groupBy("project").agg(*_statistics(len(terms))), len(terms), key)
+        for k, w in enumerate(p):
+            hit = F.col("token").startswith(w) if k == len(p) - 1 else F.col("token") == w
+            votes.append((hit, F.struct(F.lit(i).alias("i"), (F.col("pos") - k).alias("at"))))
+    rows = index.where(reduce(lambda a, b: a | b, [hit for hit, _ in votes]))
+    cast = F.explode(F.array_compact(F.array(*[F.when(hit, v) for hit, v in votes]))).alias("v")
+    rows = rows.select("project", key, "d", "field", cast).select("project", key, "d", "field", "v.i", "v.at").repartition("project", key)
+    if any(len(p) > 1 for p in terms):
+        full = reduce(lambda c, x: c.when(F.col("i") == x[0], len(x[1])), list(enumerate(terms))[1:], F.when(F.col("i") == 0, len(terms[0])))
+        rows = rows.groupBy("project", key, "field", "i", "at").agg(F.count("*").alias("v"), F.first("d").alias("d")).where(F.col("v") == full)
+    counts = rows.groupBy("project", key).agg(F.first("d").alias("d"), *[F.count_if(F.col("i") == i).alias(f"f{i}") for i in range(len(terms))])
+    found = counts.groupBy("project").agg(*_statistics(len(terms))[2:])
+    return _rank(counts, found.join(stats, "project"), len(terms), key)
 
 
 def snippet_of(body: str | None, terms: list[list[str]], window: int = WINDOW, left: str = "[", right: str = "]", dots: str = "...") -> str:

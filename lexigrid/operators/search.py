@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import datetime
 import re
+import zoneinfo
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import ascii_fold
 from . import fts
 
-# Fixed value: the form of a filter within a search string.
-FILTER = r"(?:^|\s)(table|col|tag|date):(\S+)"
-# The same for columns, where Java doesn't count U+001C to U+001F as blanks.
-COLUMN_FILTER = "(?U)" + FILTER.replace(r"\s", r"[\s\x1C-\x1F]").replace(r"\S", r"[^\s\x1C-\x1F]")
+# Fixed value: the keys of filters; each is written key:value, after a blank or at the start.
+KEYS = ("table", "col", "tag", "date")
 SORTS = {
     "name_asc": [("lower(title)", True)],
     "name_desc": [("lower(title)", False)],
@@ -23,30 +22,33 @@ SORTS = {
 }
 
 
+# Blanks as Python has them; Java doesn't count U+001C to U+001F. The class stands for itself in both.
+_B = r"\s\x1C-\x1F"
+_FILTER = rf"(?:^|[{_B}])({'|'.join(KEYS)}):([^{_B}]+)"
+
+
 def parse(text: str) -> tuple[dict[str, list[str]], str]:
-    """Filters by key and the free text that is left. Keys are case-sensitive and follow a blank or the start."""
-    found: dict[str, list[str]] = {"table": [], "col": [], "tag": [], "date": []}
-    for m in re.finditer(FILTER, text):
+    """Filters by key and the free text that is left. Keys are case-sensitive."""
+    found: dict[str, list[str]] = {k: [] for k in KEYS}
+    free, at = [], 0
+    for m in re.finditer(_FILTER, text):
+        free.append(text[at : m.start()])
+        at = m.end()
         found[m[1]].append(m[2])
-    return found, re.sub(FILTER, "", text).strip()
+    return found, "".join([*free, text[at:]]).strip()
 
 
 def parse_column(c: Column) -> dict[str, Column]:
     """The same for a column of search strings: one array per key, and the free text."""
-    keys = F.regexp_extract_all(c, F.lit(COLUMN_FILTER), F.lit(1))
-    values = F.regexp_extract_all(c, F.lit(COLUMN_FILTER), F.lit(2))
+    form = "(?U)" + _FILTER
+    keys, values = (F.regexp_extract_all(c, F.lit(form), F.lit(g)) for g in (1, 2))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-
-    def of(key: str) -> Column:
-        return F.transform(F.filter(pairs, lambda p: p["k"] == key), lambda p: p["v"])
-
-    out = {k: of(k) for k in ("table", "col", "tag", "date")}
-    rest = F.regexp_replace(c, COLUMN_FILTER, "")
-    return out | {"free_text": F.regexp_replace(rest, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")}
+    out = {k: F.transform(F.filter(pairs, lambda p, k=k: p["k"] == k), lambda p: p["v"]) for k in KEYS}
+    return out | {"free_text": F.regexp_replace(F.regexp_replace(c, form, ""), rf"(?U)^[{_B}]+|[{_B}]+$", "")}
 
 
 def day_bounds(day: str, zone: datetime.tzinfo = datetime.timezone.utc) -> tuple[int, int] | None:
-    """First and last second of a day written DD/MM/YYYY; None if it is no such day."""
+    """First and last second of a day written DD/MM/YYYY in a time zone; None if it is no such day."""
     try:
         d = datetime.datetime.strptime(day, "%d/%m/%Y")
     except ValueError:
@@ -56,8 +58,19 @@ def day_bounds(day: str, zone: datetime.tzinfo = datetime.timezone.utc) -> tuple
 
 def day_column(c: Column) -> tuple[Column, Column]:
     """The same for a column, in the session's time zone; null for no such day."""
-    good = F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(c, F.lit("d/M/yyyy")))
-    return F.unix_seconds(good), F.unix_seconds(good) + 86399
+    good = c.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
+    at = lambda time: F.unix_seconds(F.when(good, F.try_to_timestamp(F.concat(c, F.lit(time)), F.lit("d/M/yyyy H:m:s"))))
+    return at(" 0:0:0"), at(" 23:59:59")
+
+
+def session_zone(spark: SparkSession) -> datetime.tzinfo:
+    """The session's time zone, in which the days of a search are meant."""
+    name = spark.conf.get("spark.sql.session.timeZone")
+    offset = re.fullmatch(r"(?:GMT|UTC|UT)?([+-])(\d{1,2})(?::?(\d{2}))?", name)
+    if not offset:
+        return zoneinfo.ZoneInfo({"Z": "UTC"}.get(name, name))
+    away = datetime.timedelta(hours=int(offset[2]), minutes=int(offset[3] or 0))
+    return datetime.timezone(away if offset[1] == "+" else -away)
 
 
 @dataclass
@@ -67,6 +80,7 @@ class Catalog:
     queries: project, id, rel_path, title, description, body, file_mtime, updated_at, one row per id.
     links: query_id, tag.  objects: query_id, object_type, object_name, object_key.
     favorites: project, rel_path.  fts: project, query_id and the four text columns; rows may repeat.
+    postings, statistics: the stored full-text index; without them free text is searched by a scan of fts.
     """
 
     queries: DataFrame
@@ -74,11 +88,28 @@ class Catalog:
     objects: DataFrame
     favorites: DataFrame
     fts: DataFrame
+    postings: DataFrame | None = None
+    statistics: DataFrame | None = None
 
     def of(self, project: str) -> "Catalog":
         """One project: the filter prunes partitions."""
-        own = lambda df: df.where(F.col("project") == project) if "project" in df.columns else df
-        return Catalog(*map(own, (self.queries, self.links, self.objects, self.favorites, self.fts)))
+        own = lambda df: df.where(F.col("project") == project) if df is not None and "project" in df.columns else df
+        return Catalog(*map(own, (self.queries, self.links, self.objects, self.favorites, self.fts, self.postings, self.statistics)))
+
+    def only(self, projects: list[str], ids: list[int]) -> "Catalog":
+        """What belongs to some files, a list of bounded length: the filters prune partitions and row groups."""
+
+        def few(df: DataFrame, key: str | None) -> DataFrame:
+            df = df.where(F.col("project").isin(sorted(set(projects)))) if "project" in df.columns else df
+            return df.where(F.col(key).isin(ids)) if key else df
+
+        return Catalog(few(self.queries, "id"), few(self.links, "query_id"), few(self.objects, "query_id"), few(self.favorites, None), few(self.fts, "query_id"))
+
+    def ranked(self, text: str) -> DataFrame:
+        """project, query_id, rank of the files that hold all terms of a free text."""
+        if self.postings is None or self.statistics is None:
+            return fts.score(self.fts, text)
+        return fts.score_postings(self.postings, self.statistics, text)
 
 
 def matching(cat: Catalog, text: str) -> tuple[DataFrame, str]:
@@ -90,7 +121,7 @@ def matching(cat: Catalog, text: str) -> tuple[DataFrame, str]:
     filters, free = parse(text.strip())
     rows = cat.queries.select("project", "id", "rel_path", "title", "description", "file_mtime", "updated_at")
     for day in filters["date"]:
-        bounds = day_bounds(day)
+        bounds = day_bounds(day, session_zone(rows.sparkSession))
         if bounds:
             rows = rows.where(F.col("file_mtime").between(*bounds))
     for kind, key in (("table", "table"), ("column", "col")):
@@ -134,23 +165,31 @@ def dress(cat: Catalog, rows: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: results of a limited search that are looked up by id instead of by a join.
+TOP = 1000
+
+
 def search(cat: Catalog, text: str, limit: int | None = None, sort: str | None = None) -> DataFrame:
     """Search results over all projects of the catalog, with ranks of each project's own index.
 
     Order: rank for free text, else newest first, then title; ``sort`` overrides
-    it.  Ranking and limit come before the snippet and the lists, so bodies are
-    read for the surviving rows only.
+    it.  Ranking and limit come before the snippet and the lists.  With a limit
+    of up to TOP the best rows are fetched at once, and bodies, tags and tables
+    are then read for their ids alone; otherwise they come by joins.
     """
     rows, free = matching(cat, text)
     if free:
-        hits = fts.score(cat.fts, free).withColumnRenamed("query_id", "id")
-        rows = rows.join(hits, ["project", "id"])
+        rows = rows.join(cat.ranked(free).withColumnRenamed("query_id", "id"), ["project", "id"])
         order = [F.col("rank"), F.col("id")]
     else:
         rows = rows.withColumn("rank", F.lit(0.0))
         order = [F.desc("file_mtime"), F.col("title"), F.col("id")]
     if limit is not None:
         rows = rows.orderBy(*order).limit(limit)
+        if limit <= TOP:
+            best = rows.collect()
+            rows = rows.sparkSession.createDataFrame(best, rows.schema)
+            cat = cat.only([r["project"] for r in best], [r["id"] for r in best])
     if free:
         bodies = cat.fts.select("project", F.col("query_id").alias("id"), "body")
         rows = rows.join(bodies, ["project", "id"]).withColumn("snippet", fts.snippets(F.col("body"), free)).drop("body").dropDuplicates(["project", "id"])
@@ -175,7 +214,7 @@ def palette(results: DataFrame, text: str) -> DataFrame:
         for v in filters[key]:
             results = results.where(_holds(column, v.lower()))
     for day in filters["date"]:
-        bounds = day_bounds(day)
+        bounds = day_bounds(day, session_zone(results.sparkSession))
         if bounds:
             results = results.where(F.col("file_mtime").between(*bounds))
     if free:

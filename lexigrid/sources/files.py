@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import stored_tags
-from ..schemas import FILES
+from ..schemas import FILES, LISTED
 from .ship import ship
 
 # The folder of an index inside a project, and the form of a front matter.
@@ -23,25 +23,55 @@ INDEX_DIR = ".lexigrid"
 FRONT = re.compile(r"\A/\*\s*---\s*\n(.*?)\n---\s*\*/\s*\n?", re.S)
 
 
-def scan(spark: SparkSession, root: str, project: str | None = None, hidden: bool = True) -> DataFrame:
-    """project, rel_path, file_mtime (whole seconds), file_size, content of every *.sql file, read in parallel.
+class ProjectFiles:
+    """The *.sql files of one project: ``listed`` looks at times and sizes only, ``read`` at the bytes of given files.
 
+    A file that vanishes while it is listed keeps its row, with null time and
+    size; one that vanishes before it is read has no row in ``read``.
     hidden=False lets Spark list the files, which skips names that begin with _ or a dot.
     """
-    ship(spark)
-    name = project or os.path.basename(os.path.normpath(root))
-    if not hidden:
-        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").option("ignoreMissingFiles", "true").load(root)
-        path = F.regexp_replace("path", "^file:/*", "/")
-        rel = F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(os.path.normpath(os.path.abspath(root))) + 2})")
-        df = df.where(~F.array_contains(F.split(path, "/"), INDEX_DIR))
-        return df.select(F.lit(name).alias("project"), rel.alias("rel_path"), F.unix_seconds("modificationTime").alias("file_mtime"), F.col("length").alias("file_size"), "content")
-    base = os.path.normpath(os.path.abspath(root))
-    paths = sorted(list_sql(base))
-    rows = spark.createDataFrame([(p,) for p in paths], "rel_path string")
-    if len(paths) > 200:
-        rows = rows.repartition(min(len(paths) // 100, 4 * spark.sparkContext.defaultParallelism))
-    return rows.mapInPandas(_reader(base, name), FILES)
+
+    def __init__(self, spark: SparkSession, root: str, project: str | None = None, hidden: bool = True):
+        self.spark, self.base, self.hidden = spark, os.path.normpath(os.path.abspath(root)), hidden
+        self.project = project or os.path.basename(self.base)
+
+    def listed(self) -> DataFrame:
+        """project, rel_path, file_mtime (whole seconds), file_size."""
+        if not self.hidden:
+            return self._spark_files("modificationTime", "length").drop("content")
+        return self.at(list(list_sql(self.base)))
+
+    def at(self, paths: list[str]) -> DataFrame:
+        """The same for given paths alone; null time and size where there is no file."""
+        rows = self.spark.createDataFrame([(p,) for p in sorted(set(paths))], "rel_path string")
+        return self._over(rows, len(paths)).mapInPandas(_lister(self.base, self.project), LISTED)
+
+    def read(self, paths: DataFrame) -> DataFrame:
+        """The rows of FILES for the rel_path of each given row, read in parallel."""
+        ship(self.spark)
+        return paths.select("rel_path").mapInPandas(_reader(self.base, self.project), FILES)
+
+    def scan(self) -> DataFrame:
+        """All files with their bytes."""
+        if not self.hidden:
+            return self._spark_files("modificationTime", "length", "content")
+        paths = sorted(list_sql(self.base))
+        return self.read(self._over(self.spark.createDataFrame([(p,) for p in paths], "rel_path string"), len(paths)))
+
+    def _over(self, rows: DataFrame, n: int) -> DataFrame:
+        ship(self.spark)
+        return rows.repartition(min(n // 100, 4 * self.spark.sparkContext.defaultParallelism)) if n > 200 else rows
+
+    def _spark_files(self, *columns: str) -> DataFrame:
+        df = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").option("ignoreMissingFiles", "true").load(self.base)
+        df = df.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), *columns).where(~F.array_contains(F.split("path", "/"), INDEX_DIR))
+        out = df.select(F.lit(self.project).alias("project"), F.expr(f"substring(path, {len(self.base) + 2})").alias("rel_path"), F.unix_seconds("modificationTime").alias("file_mtime"), F.col("length").alias("file_size"), *columns[2:])
+        return out
+
+
+def scan(spark: SparkSession, root: str, project: str | None = None, hidden: bool = True) -> DataFrame:
+    """project, rel_path, file_mtime (whole seconds), file_size, content of every *.sql file, read in parallel."""
+    return ProjectFiles(spark, root, project, hidden).scan()
 
 
 def list_sql(base: str) -> Iterator[str]:
@@ -64,6 +94,23 @@ def subfolders(base: str) -> list[str]:
     return sorted(out)
 
 
+def _lister(base: str, project: str):
+    def look(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for rel in b["rel_path"]:
+                try:
+                    st = os.stat(os.path.join(base, rel))
+                    out.append((project, rel, int(st.st_mtime), st.st_size))
+                except OSError:  # vanished after it was named
+                    out.append((project, rel, None, None))
+            yield pd.DataFrame(out, columns=LISTED.names).astype({"file_mtime": "Int64", "file_size": "Int64"})
+
+    return look
+
+
 def _reader(base: str, project: str):
     def read(batches):
         import pandas as pd
@@ -76,7 +123,7 @@ def _reader(base: str, project: str):
                     st = os.stat(full)
                     with open(full, "rb") as f:
                         out.append((project, rel, int(st.st_mtime), st.st_size, f.read()))
-                except OSError:  # vanished while scanning
+                except OSError:
                     continue
             yield pd.DataFrame(out, columns=FILES.names).astype({"file_mtime": "int64", "file_size": "int64"})
 

@@ -5,7 +5,8 @@ import random
 
 from lexigrid.operators import collections as c
 from lexigrid.operators import index
-from lexigrid.sources.files import scan
+from lexigrid.operators.search import search
+from lexigrid.sources.files import ProjectFiles
 from lexigrid.sources.store import Store
 
 
@@ -17,12 +18,108 @@ def _write(root, rel, text, mtime=None):
         os.utime(p, (mtime, mtime))
 
 
-def _state(store):
-    q = {(r["rel_path"], r["title"], r["body"], r["file_mtime"]) for r in store.read("queries").collect()}
-    t = {(r["query_id"], r["tag"]) for r in store.read("query_tags").collect()}
-    o = {(r["query_id"], r["object_type"], r["object_name"]) for r in store.read("query_objects").collect()}
-    f = {(r["query_id"], r["objects"]) for r in store.read("fts").collect()}
-    return q, t, o, f
+def _state(store, projects=None):
+    rows = lambda name, *c: {tuple(r) for r in store.read(name, projects).select(*c).collect()}
+    q = rows("queries", "project", "rel_path", "title", "body", "file_mtime")
+    return q, rows("query_tags", "query_id", "tag"), rows("query_objects", "query_id", "object_type", "object_name"), rows("fts", "query_id", "objects"), rows("postings", "query_id", "field", "pos", "token", "d"), rows("statistics", "project", "n", "mean")
+
+
+def _dirs(store, project):
+    return {name: t["parts"].get(project) for name, t in store.meta()["tables"].items()}
+
+
+def _text(k):
+    return f"/* ---\ntitle: T{k}\ntags: [A, b{k % 3}]\n--- */\nSELECT c{k} FROM t{k % 4} x"
+
+
+def test_projects_are_apart(spark, tmp_path):
+    """A refresh or rebuild of one project neither changes nor rewrites another."""
+    store = Store(spark, str(tmp_path / "s"))
+    files = {p: ProjectFiles(spark, str(tmp_path / p), p) for p in ("one", "o'two x=%")}
+    for p, f in files.items():
+        for k in range(4):
+            _write(tmp_path / p, f"q{k}.sql", _text(k), 1_700_000_000 + k)
+        assert index.refresh(store, f) == 4
+    assert store.projects() == sorted(files)
+    other, dirs = _state(store, ["o'two x=%"]), _dirs(store, "o'two x=%")
+    assert index.refresh(store, files["one"]) == 0
+    _write(tmp_path / "one", "q1.sql", _text(9), 1_700_000_100)
+    (tmp_path / "one" / "q2.sql").unlink()
+    assert index.refresh(store, files["one"]) == 2
+    index.rebuild(store, files["one"])
+    assert _state(store, ["o'two x=%"]) == other and _dirs(store, "o'two x=%") == dirs
+    assert len(_state(store)[0]) == 7
+    before = _dirs(store, "one")
+    os.utime(tmp_path / "one" / "q3.sql", (1_700_000_200,) * 2)
+    assert index.refresh(store, files["one"]) == 0  # touched: only the table of files is written
+    after = _dirs(store, "one")
+    assert {n for n in before if before[n] != after[n]} == {"queries"}
+    assert {r["project"] for r in search(index.catalog(store), "t").select("folder").withColumnRenamed("folder", "project").collect()} == set(files)
+    store.drop_project("o'two x=%")
+    assert store.projects() == ["one"] and len(_state(store)[0]) == 3
+
+
+def test_bytes_are_read_of_changed_files_only(spark, tmp_path):
+    root = tmp_path / "p"
+    for k in range(3):
+        _write(root, f"q{k}.sql", _text(k), 1_700_000_000)
+    asked = []
+
+    class Spy(ProjectFiles):
+        def read(self, paths):
+            asked.append(sorted(r["rel_path"] for r in paths.select("rel_path").collect()))
+            return super().read(paths)
+
+    store = Store(spark, str(tmp_path / "s"))
+    index.refresh(store, ProjectFiles(spark, str(root), "p"))
+    _write(root, "q1.sql", _text(5), 1_700_000_050)
+    _write(root, "new.sql", _text(6), 1_700_000_050)
+    _write(root, "q2.sql", _text(7), 1_700_000_000)  # the same second: not seen unless hashes are compared
+    assert index.refresh(store, Spy(spark, str(root), "p")) == 2 and asked == [["new.sql", "q1.sql"]]
+    assert index.refresh(store, ProjectFiles(spark, str(root), "p"), verify_hash=True) == 1
+
+
+def test_vanished_file_stays(spark, tmp_path):
+    root = tmp_path / "p"
+    for k in range(2):
+        _write(root, f"q{k}.sql", _text(k), 1_700_000_000)
+
+    class Vanishing(ProjectFiles):
+        def listed(self):
+            return self.at(["q0.sql", "q1.sql", "never.sql"])
+
+    store = Store(spark, str(tmp_path / "s"))
+    index.refresh(store, ProjectFiles(spark, str(root), "p"))
+    (root / "q1.sql").unlink()
+    assert index.refresh(store, Vanishing(spark, str(root), "p")) == 0 and len(_state(store)[0]) == 2
+    assert index.refresh(store, ProjectFiles(spark, str(root), "p")) == 1
+
+
+def test_batch_of_events(spark, tmp_path):
+    root = tmp_path / "p"
+    for k in range(4):
+        _write(root, f"q{k}.sql", _text(k), 1_700_000_000)
+    store, files = Store(spark, str(tmp_path / "s")), ProjectFiles(spark, str(root), "p")
+    index.refresh(store, files)
+    _write(root, "q0.sql", _text(10), 1_700_000_000)
+    _write(root, "n.sql", _text(11), 1_700_000_000)
+    _write(root, "unnamed.sql", _text(12), 1_700_000_000)
+    (root / "q1.sql").unlink()
+    assert index.apply_batch(store, files, ["q0.sql", "n.sql", "q3.sql", "lost.sql"], ["q1.sql", "none.sql"]) == 3
+    assert {r[1]: r[2] for r in _state(store)[0]} == {"q0.sql": "T10", "n.sql": "T11", "q2.sql": "T2", "q3.sql": "T3"}
+    assert index.apply_batch(store, files, [], []) == 0
+
+
+def test_migration_and_settings(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert not store.compatible() and not store.migrate() and store.read("queries") is None
+    index.rebuild(store, ProjectFiles(spark, str(tmp_path / "none"), "p"))
+    assert store.compatible() and store.read("queries").count() == 0
+    store._flip(store.meta() | {"schema_version": "1"})
+    assert not store.compatible() and store.migrate()
+    assert store.read("favorites").count() == 0 and store.read("recent").columns == ["project", "rel_path", "viewed_at"]
+    store.folder.replace(f"{store.root}/current.json", "{broken")
+    assert store.meta() == {} and not store.compatible()
 
 
 def test_refresh_equals_rebuild(spark, tmp_path):
@@ -31,8 +128,8 @@ def test_refresh_equals_rebuild(spark, tmp_path):
     for k in range(12):
         _write(root, f"d{k % 3}/q{k}.sql", body(k), 1_700_000_000 + k)
     a = Store(spark, str(tmp_path / "a"))
-    assert index.refresh(a, scan(spark, str(root), "p")) == 12
-    assert index.refresh(a, scan(spark, str(root), "p")) == 0
+    assert index.refresh(a, ProjectFiles(spark, str(root), "p")) == 12
+    assert index.refresh(a, ProjectFiles(spark, str(root), "p")) == 0
     for turn in range(2):
         names = sorted(os.listdir(root / "d0")) + sorted(os.listdir(root / "d1"))
         _write(root, "d0/" + sorted(os.listdir(root / "d0"))[0], body(100 + turn), 1_700_001_000 + turn)
@@ -42,9 +139,9 @@ def test_refresh_equals_rebuild(spark, tmp_path):
         os.utime(touched, (1_700_002_000 + turn,) * 2)
         _write(root, f"new/n{turn}.sql", body(200 + r.randint(0, 9)), 1_700_003_000 + turn)
         assert names
-        assert index.refresh(a, scan(spark, str(root), "p")) == 3
+        assert index.refresh(a, ProjectFiles(spark, str(root), "p")) == 3
         b = Store(spark, str(tmp_path / f"b{turn}"))
-        index.rebuild(b, scan(spark, str(root), "p"))
+        index.rebuild(b, ProjectFiles(spark, str(root), "p"))
         assert _state(a) == _state(b)
     assert a.compatible() and a.meta()["last_full_scan"] and a.vacuum() > 0
     assert _state(a) == _state(b)
