@@ -113,6 +113,11 @@ def stored_tags(tags: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))), lambda t: t != ""))
 
 
+def chips(tags: Column, n: int = 2) -> Column:
+    """The first tags of a sorted list, as a row of a result list shows them."""
+    return F.slice(F.array_sort(tags), 1, n)
+
+
 def word_occurrences(body: Column, token: str) -> Column:
     """How often a token stands as a whole word, whatever its case; 0 for a token of fewer than two characters."""
     if len(token) < 2:

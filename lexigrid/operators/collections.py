@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 RECENT = 20
@@ -87,15 +89,78 @@ def all_tags(links: DataFrame) -> DataFrame:
     return links.select("tag").distinct().orderBy("tag")
 
 
+def tags_by_project(links: DataFrame) -> DataFrame:
+    """Tags of each project with the number of their files; links needs project."""
+    return links.groupBy("project", "tag").agg(F.countDistinct("query_id").alias("queries"))
+
+
+def file_counts(queries: DataFrame) -> DataFrame:
+    """Files per project; a repeated id counts once."""
+    return queries.groupBy("project").agg(F.countDistinct("id").alias("queries"))
+
+
+def file_total(queries: DataFrame) -> DataFrame:
+    """Files over all projects, in one row; 0 for none."""
+    return queries.agg(F.countDistinct("id").alias("total"))
+
+
+def recent_projects(views: DataFrame, n: int = 10, at: str = "viewed_at") -> DataFrame:
+    """project, last_view of the n projects that were opened last; views without a time don't count."""
+    return views.groupBy("project").agg(F.max(at).alias("last_view")).where("last_view is not null").orderBy(F.desc("last_view"), "project").limit(n)
+
+
 def suggestions(tags: DataFrame, chosen: DataFrame, typed: str = "") -> DataFrame:
     """Tags that aren't chosen yet and contain the typed text, whatever its case."""
     left = tags.join(chosen, "tag", "left_anti")
     return left.where(F.lower("tag").contains(typed.lower())) if typed else left
 
 
+# Rows of a group that one task may number, and the parts that a larger group is cut into.
+WHOLE, CUTS = 100_000, 256
+
+
+def numbered(df: DataFrame, group: list[str], order: str, name: str = "number") -> DataFrame:
+    """Rows with their place, from 1, in the order of a numeric column without repetition within a group.
+
+    A group of more than WHOLE rows is cut at quantiles of the column; the parts
+    are numbered apart and shifted by the rows before them. Such groups are few
+    (all rows / WHOLE at most), which bounds what is broadcast.
+    """
+    own = {g: f"_of_{g}" for g in group}
+    same = lambda other: reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(o)) for g, o in other.items()])
+    size = df.groupBy(*group).agg(F.count("*").alias("_n"), F.percentile_approx(order, [k / CUTS for k in range(1, CUTS)], 1000).alias("_at")).where(F.col("_n") > WHOLE)
+    cut = df.join(F.broadcast(size.drop("_n").withColumnsRenamed(own)), same(own), "left")
+    cut = cut.withColumn("_part", F.when(F.col("_at").isNull(), 0).otherwise(F.size(F.filter("_at", lambda x: x < F.col(order))))).drop("_at", *own.values())
+    over = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = cut.groupBy(*group, "_part").agg(F.count("*").alias("_m")).withColumn("_shift", F.sum("_m").over(over)).where("_shift > 0").drop("_m")
+    place = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(order))
+    own |= {"_part": "_of__part"}
+    out = cut.withColumn("_place", place).join(F.broadcast(shifts.withColumnsRenamed(own)), same(own), "left")
+    return out.withColumn(name, F.col("_place") + F.coalesce("_shift", F.lit(0))).drop("_part", "_place", "_shift", *own.values())
+
+
 def unique_names(df: DataFrame, stem: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """Free file names for a batch: name, name_1, name_2, ... within a stem, by the given order."""
-    w = Window.partitionBy("project", stem).orderBy(order)
-    k = F.row_number().over(w) - 1
-    out = df.withColumn("file_name", F.concat(F.col(stem), F.when(k == 0, "").otherwise(F.concat(F.lit("_"), k.cast("string"))), F.lit(".sql")))
-    return out if taken is None else out.join(taken, ["project", "file_name"], "left_anti")
+    """A free file name for each row of a batch: name.sql, name_1.sql, name_2.sql, ...; taken has project, file_name.
+
+    The first row of each stem takes the plain name if it is free. The others
+    are numbered by the given numeric column, over the numbers that are neither
+    taken nor plain names of another stem.  No row is lost and no name repeated.
+    """
+    stems = df.groupBy("project", stem).agg(F.min(order).alias("_first"))
+    used = stems.select("project", F.concat(F.col(stem), F.lit(".sql")).alias("file_name"))
+    held = used if taken is None else used.unionByName(taken.select("project", "file_name")).distinct()
+    form = r"^(.+)_([1-9][0-9]{0,8})\.sql$"
+    numbers = held.select("project", F.regexp_extract("file_name", form, 1).alias(stem), F.regexp_extract("file_name", form, 2).alias("k")).where("k <> ''")
+    numbers = numbers.join(stems.drop("_first"), ["project", stem], "left_semi").groupBy("project", stem).agg(F.array_sort(F.collect_list(F.col("k").cast("long"))).alias("_k"))
+    if taken is not None:
+        blocked = taken.select("project", F.regexp_replace("file_name", r"\.sql$", "").alias(stem), F.lit(True).alias("_blocked")).distinct()
+        stems = stems.join(blocked, ["project", stem], "left")
+    else:
+        stems = stems.withColumn("_blocked", F.lit(None).cast("boolean"))
+    rows = numbered(df, ["project", stem], order, "_r").join(stems, ["project", stem]).join(numbers, ["project", stem], "left")
+    free = F.coalesce("_blocked", F.lit(False))
+    r = F.col("_r") - F.when(free, 0).otherwise(1)
+    # the r-th number that isn't held: each held number k, the i-th in order, shifts those from k - i + 1 on
+    held_before = F.size(F.filter(F.coalesce("_k", F.array().cast("array<long>")), lambda k, i: k - i <= r))
+    number = F.when(r == 0, "").otherwise(F.concat(F.lit("_"), (r + held_before).cast("string")))
+    return rows.withColumn("file_name", F.concat(F.col(stem), number, F.lit(".sql"))).drop("_r", "_first", "_blocked", "_k")

@@ -50,9 +50,9 @@ def publish(store: Store, tables: dict[str, DataFrame], projects: list[str] | No
 
 
 def rebuild(store: Store, files: ProjectFiles) -> None:
-    """Replace all tables of one project; other projects, favorites and recent views stay as they are."""
+    """Replace all tables of the files' projects; other projects, favorites and recent views stay as they are."""
     with _parsed(store, files.scan()) as rows:
-        publish(store, split(rows), [files.project])
+        publish(store, split(rows), files.projects)
 
 
 def catalog(store: Store, projects: list[str] | None = None) -> Catalog:
@@ -111,34 +111,32 @@ def changed_count(actions: DataFrame) -> int:
 
 
 def refresh(store: Store, files: ProjectFiles, verify_hash: bool = False) -> int:
-    """Bring the index of one project up to date; returns the number of changes. Other projects are neither read nor written.
+    """Bring the index of the files' projects up to date; returns the number of changes. Other projects are neither read nor written.
 
     Times come first: bytes are read of new files and of those with another time
     only, once.  A file that vanishes while it is listed is left as the index has it.
     """
-    project = files.project
-    if not store.compatible() or project not in store.projects():
+    if not store.compatible() or not set(files.projects) & set(store.projects()):
         rebuild(store, files)
-        return store.read("queries", [project]).count()
+        return store.read("queries", files.projects).count()
     listed = files.listed()
-    return _apply(store, project, listed.where("file_mtime is not null"), listed, files, verify_hash)
+    return _apply(store, listed.where("file_mtime is not null"), listed, files, verify_hash)
 
 
 def apply_batch(store: Store, files: ProjectFiles, modified: list[str], deleted: list[str]) -> int:
     """Apply the paths of one batch of change events: only these are looked at. A path that is no file (any more) and isn't deleted stays as it is."""
-    project = files.project
-    if not store.compatible() or project not in store.projects():
+    if not store.compatible() or not set(files.projects) & set(store.projects()):
         return refresh(store, files)
     present = files.at([p for p in set(modified) - set(deleted) if p.endswith(".sql")]).where("file_mtime is not null")
     gone = store.spark.createDataFrame([(p,) for p in sorted(set(deleted))], "rel_path string")
-    rest = store.read("queries", [project]).select(*KEY).join(gone, "rel_path", "left_anti").unionByName(present.select(*KEY))
-    return _apply(store, project, present, rest, files, True)
+    rest = store.read("queries", files.projects).select(*KEY).join(gone, "rel_path", "left_anti").unionByName(present.select(*KEY))
+    return _apply(store, present, rest, files, True)
 
 
-def _apply(store: Store, project: str, present: DataFrame, listed: DataFrame, files: ProjectFiles, verify_hash: bool) -> int:
+def _apply(store: Store, present: DataFrame, listed: DataFrame, files: ProjectFiles, verify_hash: bool) -> int:
     """Read the present files whose time (or, by choice, whose hash) may differ, and drop those of the index that aren't listed."""
-    old = store.read("queries", [project])
-    seen = present.join(old.select("rel_path", F.col("file_mtime").alias("old_mtime"), F.lit(True).alias("known")), "rel_path", "left")
+    old = store.read("queries", files.projects)
+    seen = present.join(old.select(*KEY, F.col("file_mtime").alias("old_mtime"), F.lit(True).alias("known")), KEY, "left")
     look = seen if verify_hash else seen.where(F.col("known").isNull() | ~F.col("file_mtime").eqNullSafe(F.col("old_mtime")))
     with _parsed(store, files.read(look)) as rows:
         met = _met(rows, old).where("there").withColumn("action", _action(verify_hash))
@@ -155,8 +153,8 @@ def _apply(store: Store, project: str, present: DataFrame, listed: DataFrame, fi
         out = {"queries": kept.withColumn("file_mtime", F.coalesce("new_mtime", "file_mtime")).select(*old.columns).unionByName(new["queries"])}
         if n:  # a touch changes no other table
             for name in CHILDREN:
-                out[name] = store.read(name, [project]).join(gone, ["project", "query_id"], "left_anti").unionByName(new[name])
-        publish(store, out, [project])
+                out[name] = store.read(name, files.projects).join(gone, ["project", "query_id"], "left_anti").unionByName(new[name])
+        publish(store, out, files.projects)
     return n
 
 

@@ -41,10 +41,12 @@ def parse(text: str) -> tuple[dict[str, list[str]], str]:
 def parse_column(c: Column) -> dict[str, Column]:
     """The same for a column of search strings: one array per key, and the free text."""
     form = "(?U)" + _FILTER
-    keys, values = (F.regexp_extract_all(c, F.lit(form), F.lit(g)) for g in (1, 2))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    out = {k: F.transform(F.filter(pairs, lambda p, k=k: p["k"] == k), lambda p: p["v"]) for k in KEYS}
-    return out | {"free_text": F.regexp_replace(F.regexp_replace(c, form, ""), rf"(?U)^[{_B}]+|[{_B}]+$", "")}
+    pairs = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(form), F.lit(g)).alias(name) for g, name in ((1, "k"), (2, "v"))])
+
+    def of(key: str) -> Column:
+        return F.transform(F.filter(pairs, lambda p: p["k"] == key), lambda p: p["v"])
+
+    return {k: of(k) for k in KEYS} | {"free_text": F.regexp_replace(F.regexp_replace(c, form, ""), rf"(?U)^[{_B}]+|[{_B}]+$", "")}
 
 
 def day_bounds(day: str, zone: datetime.tzinfo = datetime.timezone.utc) -> tuple[int, int] | None:
@@ -134,20 +136,31 @@ def matching(cat: Catalog, text: str) -> tuple[DataFrame, str]:
     return rows, free
 
 
+def tags_of(links: DataFrame) -> DataFrame:
+    """query_id, tags: sorted, each once; files without a tag have no row."""
+    return links.groupBy("query_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
+def tables_of(objects: DataFrame) -> DataFrame:
+    """query_id, tables: sorted names. A name that holds a comma is split, as names travel in one joined string."""
+    names = objects.where("object_type = 'table'").groupBy("query_id").agg(F.array_sort(F.collect_list("object_name")).alias("tables"))
+    return names.withColumn("tables", F.filter(F.split(F.array_join("tables", ","), ","), lambda t: t != ""))
+
+
+def starred(rows: DataFrame, favorites: DataFrame) -> DataFrame:
+    """Rows with is_favorite, by project and rel_path."""
+    stars = favorites.select("project", "rel_path").distinct().withColumn("_star", F.lit(True))
+    return rows.join(stars, ["project", "rel_path"], "left").withColumn("is_favorite", F.coalesce("_star", F.lit(False))).drop("_star")
+
+
 def dress(cat: Catalog, rows: DataFrame) -> DataFrame:
     """Rows with tags, tables and favorite flag as arrays and booleans; rows is the small side."""
     ids = rows.select(F.col("id").alias("query_id"))
-    tags = cat.links.join(ids, "query_id", "left_semi").groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    names = cat.objects.where("object_type = 'table'").join(ids, "query_id", "left_semi")
-    tables = names.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list("object_name")).alias("tables"))
-    stars = cat.favorites.select("project", "rel_path").distinct().withColumn("star", F.lit(True))
+    tags = tags_of(cat.links.join(ids, "query_id", "left_semi")).withColumnRenamed("query_id", "id")
+    tables = tables_of(cat.objects.join(ids, "query_id", "left_semi")).withColumnRenamed("query_id", "id")
     none = F.array().cast("array<string>")
-    # a name that holds a comma is split, as names travel in one joined string
-    split = F.filter(F.split(F.array_join(F.coalesce("tables", none), ","), ","), lambda t: t != "")
     return (
-        rows.join(tags, "id", "left")
-        .join(tables, "id", "left")
-        .join(stars, ["project", "rel_path"], "left")
+        starred(rows.join(tags, "id", "left").join(tables, "id", "left"), cat.favorites)
         .select(
             F.col("id").alias("query_id"),
             "rel_path",
@@ -157,9 +170,9 @@ def dress(cat: Catalog, rows: DataFrame) -> DataFrame:
             "rank",
             F.coalesce("tags", none).alias("tags"),
             F.col("project").alias("folder"),
-            split.alias("tables"),
+            F.coalesce("tables", none).alias("tables"),
             "updated_at",
-            F.coalesce("star", F.lit(False)).alias("is_favorite"),
+            "is_favorite",
             F.coalesce("file_mtime", F.lit(0)).alias("file_mtime"),
         )
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import ascii_fold
-from ..operators.objects import dedupe
+from ..operators.objects import dedupe, objects_text
 from ..operators.search import Catalog
 from ..sources.tables import table
 from .spread import spread
@@ -41,10 +41,11 @@ def views(spark: SparkSession, d: str) -> DataFrame:
 
 def fts(spark: SparkSession, d: str) -> DataFrame:
     """project, query_id and the four text columns; object names by type, then by name. Repeated deliveries are left in, as full-text search drops them where rows are narrow."""
-    names = objects(spark, d).where(F.col("object_type").isin("table", "column"))
-    kind = F.when(F.col("object_type") == "table", 0).otherwise(1)
-    lists = names.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(kind.alias("k"), "object_name"))).alias("o"))
-    joined = lists.select("query_id", F.array_join(F.transform("o", lambda x: x["object_name"]), " ").alias("objects"))
+    of = lambda kind: F.collect_list(F.when(F.col("object_type") == kind, F.col("object_name")))
+    joined = objects(spark, d).groupBy("query_id").agg(*[of(k).alias(k) for k in ("table", "column")])
+    none = F.array().cast("array<string>")
+    shape = F.struct("table", "column", *[none.alias(k) for k in ("alias", "procedure", "function")])
+    joined = joined.select("query_id", objects_text(shape).alias("objects"))
     base = spread(table(spark, d, "queries").select("project", "id", "title", "description", "body")).select("project", F.col("id").alias("query_id"), "title", F.coalesce("description", F.lit("")).alias("description"), "body")
     return base.join(joined, "query_id", "left").select("project", "query_id", "title", "description", "body", F.coalesce("objects", F.lit("")).alias("objects"))
 

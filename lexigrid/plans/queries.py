@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as fx
 from ..operators import collections as coll, fts, index, search
 from ..operators.objects import extracted, object_rows, objects_text
-from ..sources.files import parsed
+from ..sources.files import content_hash, folders, parsed
+from ..sources.shared import shared_folder
+from ..sources.store import Store
 from ..sources.tables import table
 from ..streaming import watch
 from . import catalog as cat
 from .spread import spread
+from .stored import TableFiles, as_files, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,31 +53,52 @@ def query(sql: str | None = None):
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ''), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+$', '')"
 
 
+_STEM = r"regexp_replace(regexp_replace(rel_path, '^.*/', ''), '\.sql$', '')"
+
+
 @query(
-    f"SELECT id, title, 'x ' || id AS description, length({_STRIP.format('body')}) AS body_length, true AS has_frontmatter, 'utf-8' AS encoding FROM q WHERE title <> ''"
+    f"""SELECT project, rel_path, coalesce(nullif(title, ''), {_STEM}) AS title, {_STRIP.format("coalesce(description, '')")} AS description, length({_STRIP.format('body')}) AS body_length, true AS has_frontmatter,
+'utf-8' AS encoding, octet_length(encode(body)) > 0 AS has_body FROM q"""
 )
 def s_parse_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files with a front matter are decoded, split and projected."""
-    q = cat.queries(spark, d).where("title <> ''")
-    head = F.concat(F.lit("/* ---\ntitle: "), F.to_json(F.struct("title")), F.lit("\ndescription: x "), F.col("id"), F.lit("\n--- */\n\n"))
-    head = F.regexp_replace(F.replace(head, F.lit('{"title":'), F.lit("")), r'"\}\n', '"\n')
-    text = F.concat(head, F.col("body"))
-    files = q.select("project", F.concat("rel_path", F.lit("|"), "id").alias("rel_path"), F.col("file_mtime"), F.col("file_size"), F.encode(text, "UTF-8").alias("content"))
-    out = parsed(files)
-    return out.select(F.split("rel_path", r"\|")[1].cast("long").alias("id"), "title", "description", F.length("body").alias("body_length"), "has_frontmatter", "encoding")
+    """Files with a front matter are decoded, split and projected; a file without a title is named by its path."""
+    out = parsed(as_files(cat.queries(spark, d)))
+    return out.select("project", "rel_path", "title", "description", F.length("body").alias("body_length"), "has_frontmatter", "encoding", (F.length("body") > 0).alias("has_body"))
+
+
+# Bodies as five kinds of bytes; cp1252 only where its bytes can't be read as UTF-8.
+_KIND = r"CASE id % 5 WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16-le' WHEN 3 THEN 'utf-16-be' ELSE CASE WHEN id % 5 = 4 AND {0} AND NOT {1} AND NOT {2} THEN 'cp1252' ELSE 'utf-8' END END"
+_KINDS = (r"[^\x00-\x7F]", r"[^\x00-\x7F\xA0-\xFF]", r"[\xC2-\xF4][\xA0-\xBF]")
+
+
+@query(
+    f"""SELECT id, CASE WHEN own AND kind = 'utf-8' THEN 'utf-8-sig' ELSE kind END AS encoding, kind LIKE 'utf-%-%' OR own AND kind = 'utf-8' AS had_bom,
+md5({_STRIP.format("CASE WHEN own AND kind = 'utf-8' THEN substr(body, 2) ELSE body END")}) AS body
+FROM (SELECT id, body, starts_with(body, chr(65279)) AS own, {_KIND.format(*[f"regexp_matches(body, '{k}')" for k in _KINDS])} AS kind FROM q)"""
+)
+def s3_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes with and without a byte order mark, in four encodings, are told apart and decoded."""
+    kind = F.expr(_KIND.format(*[f"body RLIKE r'{k}'" for k in _KINDS]))
+    mark = lambda b, name: F.concat(F.lit(bytearray(b)), F.encode("body", name))
+    content = (
+        F.when(kind == "utf-8-sig", mark(b"\xef\xbb\xbf", "UTF-8")).when(kind == "utf-16-le", mark(b"\xff\xfe", "UTF-16LE")).when(kind == "utf-16-be", mark(b"\xfe\xff", "UTF-16BE"))
+        .when(kind == "cp1252", F.encode("body", "ISO-8859-1")).otherwise(F.encode("body", "UTF-8"))
+    )
+    files = cat.queries(spark, d).select("project", F.col("id").cast("string").alias("rel_path"), "file_mtime", "file_size", content.alias("content"))
+    return parsed(files).select(F.col("rel_path").cast("long").alias("id"), "encoding", "had_bom", F.md5("body").alias("body"))
 
 
 @query("SELECT project, count(*) AS files, sum(octet_length(encode(body))) AS bytes, min(sha256(body)) AS first_hash FROM q GROUP BY project")
 def s8_file_stats(spark: SparkSession, d: str) -> DataFrame:
     """Size in bytes and SHA-256 of each text."""
-    q = cat.queries(spark, d).select("id", "project", F.sha2("body", 256).alias("h"), F.octet_length("body").cast("long").alias("n"))
+    q = cat.queries(spark, d).select("id", "project", content_hash(F.encode("body", "UTF-8")).alias("h"), F.octet_length("body").cast("long").alias("n"))
     return q.groupBy("project").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"), F.min("h").alias("first_hash"))
 
 
-@query("SELECT DISTINCT project, regexp_replace(rel_path, '/[^/]*$', '') AS folder FROM q WHERE contains(rel_path, '/')")
+@query("SELECT DISTINCT project, unnest(list_transform(range(1, len(p)), lambda k: array_to_string(p[1:k], '/'))) AS folder FROM (SELECT project, string_split(rel_path, '/') AS p FROM q)")
 def s14_subfolders(spark: SparkSession, d: str) -> DataFrame:
-    """Folders that hold files."""
-    return table(spark, d, "queries").where(F.contains("rel_path", F.lit("/"))).select("project", F.regexp_replace("rel_path", "/[^/]*$", "").alias("folder")).distinct()
+    """Every folder on the way to a file."""
+    return folders(table(spark, d, "queries").select("project", "rel_path"))
 
 
 # -- extraction ---------------------------------------------------------------------
@@ -118,16 +144,34 @@ def i4_upsert(spark: SparkSession, d: str) -> DataFrame:
     return index.upsert(old.drop("id"), new.drop("id"), index.KEY)
 
 
+_TIMES = "CASE WHEN id % 10 < 3 THEN coalesce(file_mtime, 0) + 60 ELSE coalesce(file_mtime, 0) END"
+_BODIES = "CASE WHEN id % 10 = 1 THEN body || ' -- changed' ELSE body END"
+
+
+@query(f"SELECT project, rel_path, {_TIMES} AS file_mtime, md5({_STRIP.format(_BODIES)}) AS body FROM q WHERE id % 10 <> 0")
+def i1_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """An index that was built from a first state of all files and refreshed with a second has the files of the second."""
+    q = cat.queries(spark, d).select("project", "rel_path", "id", "title", "description", "body", "file_mtime")
+    new = q.where("id % 10 <> 0").withColumns({"file_mtime": F.expr(_TIMES), "body": F.expr(_BODIES)})
+    store = Store(spark, shared_folder(spark))
+    index.rebuild(store, TableFiles(as_files(q.where("id % 7 <> 3"))))
+    index.refresh(store, TableFiles(as_files(new)))
+    return store.read("queries").select("project", "rel_path", "file_mtime", F.md5("body").alias("body"))
+
+
 @query("SELECT l.query_id, l.tag FROM links l WHERE l.query_id NOT IN (SELECT q.id FROM q JOIN favs USING (project, rel_path))")
 def i5_delete(spark: SparkSession, d: str) -> DataFrame:
     """Links that are left when all favorite files are deleted."""
-    gone = coll.favorites(cat.queries(spark, d), cat.favorites(spark, d)).select(F.col("id").alias("query_id"))
-    return cat.links(spark, d).join(gone, "query_id", "left_anti")
+    tables = {"queries": cat.queries(spark, d), "query_tags": cat.with_project(spark, d, cat.links(spark, d))}
+    return index.delete(tables, cat.favorites(spark, d))["query_tags"].select("query_id", "tag")
 
 
-@query("SELECT query_id, tag FROM links")
+@query("SELECT q.project, q.rel_path, l.tag FROM links l JOIN q ON q.id = l.query_id")
 def i6_tag_links(spark: SparkSession, d: str) -> DataFrame:
-    return cat.links(spark, d)
+    """Links that come of the tags in front matters."""
+    tags = search.tags_of(cat.links(spark, d)).withColumnRenamed("query_id", "id")
+    out = index.expand(as_files(cat.queries(spark, d).join(tags, "id", "left"), True))
+    return out["query_tags"].join(out["queries"].select(F.col("id").alias("query_id"), "rel_path"), "query_id").select("project", "rel_path", "tag")
 
 
 @query("SELECT DISTINCT q.project, l.tag FROM links l JOIN q ON q.id = l.query_id")
@@ -147,7 +191,8 @@ def i9_fts_objects(spark: SparkSession, d: str) -> DataFrame:
 
 # -- search strings ---------------------------------------------------------------------
 _TEXT = "'table:' || coalesce(title, '') || ' tag:' || dialect || ' ' || coalesce(description, '') || ' date:' || coalesce(created_at, '-')"
-_FIND = r"(^|[\s])(table|col|tag|date):(\S+)"
+_GAP = r"[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]".replace("{{", "{").replace("}}", "}")
+_FIND = rf"(^|{_GAP})(table|col|tag|date):([^{_GAP[1:-1]}]+)"
 
 
 def _search_text() -> Column:
@@ -157,17 +202,10 @@ def _search_text() -> Column:
 @query(
     f"""SELECT id, array_to_string(list_transform(list_filter(list_zip(regexp_extract_all(t, '{_FIND}', 2), regexp_extract_all(t, '{_FIND}', 3)), lambda p: p[1] = 'tag'), lambda p: p[2]), '|') AS tags,
 array_to_string(list_transform(list_filter(list_zip(regexp_extract_all(t, '{_FIND}', 2), regexp_extract_all(t, '{_FIND}', 3)), lambda p: p[1] = 'table'), lambda p: p[2]), '|') AS tables
-FROM (SELECT id, regexp_replace({_TEXT}, '[^ -~]', '', 'g') AS t FROM q)"""
+FROM (SELECT id, {_TEXT} AS t FROM q)"""
 )
 def search_parse(spark: SparkSession, d: str) -> DataFrame:
     """P1 on a column of search strings."""
-    p = search.parse_column(F.regexp_replace(_search_text(), "[^ -~]", ""))
-    return cat.queries(spark, d).select("id", F.array_join(p["tag"], "|").alias("tags"), F.array_join(p["table"], "|").alias("tables"))
-
-
-@query()
-def search_parse_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same for the search strings as they stand; search_parse takes their ASCII characters only, as its SQL does."""
     p = search.parse_column(_search_text())
     return cat.queries(spark, d).select("id", F.array_join(p["tag"], "|").alias("tags"), F.array_join(p["table"], "|").alias("tables"))
 
@@ -220,19 +258,25 @@ def f5_conjunction(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT query_id, tables FROM (SELECT query_id, string_agg(object_name, ',' ORDER BY object_name) AS tables FROM objs WHERE object_type = 'table' GROUP BY query_id)")
 def f8_tables_list(spark: SparkSession, d: str) -> DataFrame:
     """Tables of each query in one string."""
-    names = cat.objects(spark, d).where("object_type = 'table'")
-    return names.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("object_name")), ",").alias("tables"))
+    return search.tables_of(cat.objects(spark, d)).select("query_id", F.array_join("tables", ",").alias("tables"))
 
 
 @query("SELECT q.id, f.rel_path IS NOT NULL AS is_favorite FROM q LEFT JOIN favs f USING (project, rel_path)")
 def f9_favorite_flag(spark: SparkSession, d: str) -> DataFrame:
-    stars = cat.favorites(spark, d).withColumn("star", F.lit(True))
-    return cat.queries(spark, d).select("id", "project", "rel_path").join(stars, ["project", "rel_path"], "left").select("id", F.coalesce("star", F.lit(False)).alias("is_favorite"))
+    """Whether a file is a favorite."""
+    return search.starred(cat.queries(spark, d).select("id", "project", "rel_path"), cat.favorites(spark, d)).select("id", "is_favorite")
 
 
 @query("SELECT query_id, string_agg(tag, ' ' ORDER BY tag) AS tags FROM links GROUP BY query_id")
 def f10_tags_list(spark: SparkSession, d: str) -> DataFrame:
-    return cat.links(spark, d).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), " ").alias("tags"))
+    return search.tags_of(cat.links(spark, d)).select("query_id", F.array_join("tags", " ").alias("tags"))
+
+
+@query("SELECT id AS query_id, title FROM q WHERE false")
+def f7_malformed(spark: SparkSession, d: str) -> DataFrame:
+    """a term with a double quote gives no result, with and without a stored index."""
+    hits = [search.search(c, 'kiln te"nant').select("query_id", "title") for c in (cat.catalog(spark, d), stored(spark, d))]
+    return hits[0].unionByName(hits[1])
 
 
 _RESULT = """SELECT q.id AS query_id, q.rel_path, q.title, coalesce(q.description, '') AS description, '' AS snippet, 0.0::DOUBLE AS rank, coalesce(t.tags, '') AS tags, q.project AS folder,
@@ -304,31 +348,39 @@ _fts_query("t2_phrase_match", "kiln_pri", "T2, T3: a phrase of two tokens, the l
 _fts_query("t3_bm25", "kiln tenant_id relat", "T3: three terms, ANDed.")
 
 
+SQL["t3_postings"] = SQL["t3_bm25"]
+
+
 @query()
 def t3_postings(spark: SparkSession, d: str) -> DataFrame:
-    """T3 from stored postings: the same ranks as by scan."""
-    rows = cat.fts(spark, d)
-    return fts.score_postings(fts.postings(rows), fts.lengths(rows), "kiln tenant_id relat").select("project", "query_id", F.round("rank", 6).alias("rank"))
+    """T3 from the stored index: only the token ranges of the search are read."""
+    return stored(spark, d).ranked("kiln tenant_id relat").select("project", "query_id", F.round("rank", 6).alias("rank"))
+
+
+SQL["t2_phrase_postings"] = SQL["t2_phrase_match"]
+
+
+@query()
+def t2_phrase_postings(spark: SparkSession, d: str) -> DataFrame:
+    """T2 from the stored index: the tokens of a phrase meet at their place."""
+    return stored(spark, d).ranked("kiln_pri").select("project", "query_id", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def t4_snippets(spark: SparkSession, d: str) -> DataFrame:
     """T4: snippets of all hits."""
-    out = search.search(cat.catalog(spark, d), "kiln tenant_id")
+    out = search.search(stored(spark, d), "kiln tenant_id")
     return out.select("query_id", F.round("rank", 6).alias("rank"), "snippet")
 
 
 SQL["t5_ranked_search"] = f"""WITH {_CTE}{_match([["kiln"]])}
-SELECT r.query_id, q.rel_path, round(r.rank, 6) AS rank, row_number() OVER (ORDER BY round(r.rank, 9), r.query_id) AS place
-FROM ranked r JOIN q ON q.id = r.query_id WHERE r.query_id IN (SELECT query_id FROM links WHERE tag = 'legacy')"""
+SELECT r.query_id, q.rel_path, round(r.rank, 6) AS rank FROM ranked r JOIN q ON q.id = r.query_id WHERE r.query_id IN (SELECT query_id FROM links WHERE tag = 'legacy')"""
 
 
 @query()
 def t5_ranked_search(spark: SparkSession, d: str) -> DataFrame:
-    """Free text with a tag filter; statistics come from the whole index."""
-    out = search.search(cat.catalog(spark, d), "tag:legacy kiln")
-    w = Window.orderBy(F.round("rank", 9), "query_id")
-    return out.select("query_id", "rel_path", F.round("rank", 6).alias("rank"), F.row_number().over(w).alias("place"))
+    """Free text with a tag filter, in the order of rank; statistics come from the whole index."""
+    return search.search(stored(spark, d), "tag:legacy kiln").select("query_id", "rel_path", F.round("rank", 6).alias("rank"))
 
 
 SQL["c7_multi_folder_search"] = f"""WITH {_CTE}{_match([["kiln"]])}
@@ -338,30 +390,28 @@ SELECT folder, rel_path, round(rank, 6) AS rank FROM (SELECT q.project AS folder
 @query()
 def c7_multi_folder_search(spark: SparkSession, d: str) -> DataFrame:
     """One search over all projects, ranks compared as they are; the best fifty."""
-    hits = fts.score(cat.fts(spark, d), "kiln").orderBy(F.round("rank", 9), "query_id").limit(50)
-    paths = cat.queries(spark, d).select(F.col("id").alias("query_id"), "project", "rel_path")
-    return hits.join(paths, ["project", "query_id"]).select(F.col("project").alias("folder"), "rel_path", F.round("rank", 6).alias("rank"))
+    return search.search(stored(spark, d), "kiln", limit=50).select("folder", "rel_path", F.round("rank", 6).alias("rank"))
 
 
 # -- orders and limits -------------------------------------------------------------------
-@query("SELECT id, row_number() OVER (PARTITION BY project ORDER BY file_mtime DESC NULLS LAST, title, id) AS place FROM q")
+PAGE = 200
+
+
+@query(f"SELECT query_id, file_mtime FROM (SELECT id AS query_id, coalesce(file_mtime, 0) AS file_mtime FROM q ORDER BY q.file_mtime DESC NULLS LAST, title, id LIMIT {PAGE})")
 def o1_default_order(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("project").orderBy(F.desc_nulls_last("file_mtime"), "title", "id")
-    return cat.queries(spark, d).select("id", F.row_number().over(w).alias("place"))
+    """O1: the first page of the empty search, newest first."""
+    return search.search(stored(spark, d), "", limit=PAGE).select("query_id", "file_mtime")
 
 
-@query(
-    """SELECT id, row_number() OVER (PARTITION BY project ORDER BY lower(title), id) AS name_asc, row_number() OVER (PARTITION BY project ORDER BY lower(title) DESC, id) AS name_desc,
-row_number() OVER (PARTITION BY project ORDER BY coalesce(file_mtime, 0), id) AS mtime_asc, row_number() OVER (PARTITION BY project ORDER BY coalesce(file_mtime, 0) DESC, id) AS mtime_desc FROM q"""
-)
+_ORDERS = {"name_asc": "lower(title)", "name_desc": "lower(title) DESC", "mtime_desc": "coalesce(file_mtime, 0) DESC", "mtime_asc": "coalesce(file_mtime, 0)"}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS mode, id AS query_id, title FROM q ORDER BY {o}, id LIMIT {PAGE})" for k, o in _ORDERS.items()))
 def o4_sort_modes(spark: SparkSession, d: str) -> DataFrame:
-    """The place of each file in the four orders of its project."""
-    q = cat.queries(spark, d).select("id", "project", "title", F.coalesce("file_mtime", F.lit(0)).alias("file_mtime"))
-    out = []
-    for name, ((expression, up),) in search.SORTS.items():
-        c = F.expr(expression)
-        out.append(F.row_number().over(Window.partitionBy("project").orderBy(c.asc() if up else c.desc(), "id")).alias(name))
-    return q.select("id", *out)
+    """The first page of a result list in each of its four orders; a limited order is merged from the best rows of each task."""
+    q = cat.queries(spark, d).select(F.col("id").alias("query_id"), "title", F.coalesce("file_mtime", F.lit(0)).alias("file_mtime"))
+    pages = [search.sorted_results(q, k).limit(PAGE).select(F.lit(k).alias("mode"), "query_id", "title") for k in search.SORTS]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query("SELECT project, rel_path, viewed_at FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY viewed_at DESC, rel_path) AS r FROM (SELECT project, rel_path, max(viewed_at) AS viewed_at FROM views WHERE viewed_at IS NOT NULL GROUP BY ALL)) WHERE r <= 20")
@@ -373,26 +423,25 @@ def o5_recent_per_project(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT project, last_view FROM (SELECT project, max(viewed_at) AS last_view FROM views WHERE viewed_at IS NOT NULL GROUP BY project ORDER BY last_view DESC, project LIMIT 10)")
 def o7_recent_projects(spark: SparkSession, d: str) -> DataFrame:
     """The ten projects that were opened last."""
-    return cat.views(spark, d).groupBy("project").agg(F.max("viewed_at").alias("last_view")).orderBy(F.desc("last_view"), "project").limit(10)
+    return coll.recent_projects(cat.views(spark, d))
 
 
-@query("SELECT tag, row_number() OVER (ORDER BY tag) AS place FROM (SELECT DISTINCT tag FROM links)")
+@query("SELECT DISTINCT tag FROM links")
 def o8_tags_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Tags of all projects in order."""
-    return cat.links(spark, d).select("tag").distinct().withColumn("place", F.row_number().over(Window.orderBy("tag")))
+    return coll.all_tags(cat.links(spark, d))
 
 
 @query("SELECT query_id, array_to_string((list(tag ORDER BY tag))[1:2], ' ') AS chips FROM links GROUP BY query_id")
 def o9_tag_chips(spark: SparkSession, d: str) -> DataFrame:
-    tags = F.array_sort(F.collect_list("tag"))
-    return cat.links(spark, d).groupBy("query_id").agg(F.array_join(F.slice(tags, 1, 2), " ").alias("chips"))
+    return search.tags_of(cat.links(spark, d)).select("query_id", F.array_join(fx.chips(F.col("tags")), " ").alias("chips"))
 
 
 # -- collections and statistics ------------------------------------------------------------
 @query("SELECT project, count(*) AS queries FROM q GROUP BY project")
 def g1_count(spark: SparkSession, d: str) -> DataFrame:
     """Files per project."""
-    return table(spark, d, "queries").groupBy("project").agg(F.countDistinct("id").alias("queries"))
+    return coll.file_counts(table(spark, d, "queries"))
 
 
 @query(
@@ -460,36 +509,35 @@ def u1_template_params(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(fx.template_params(F.col("text"))), " ").alias("params"))
 
 
-@query("SELECT doc_id, md5(replace(replace('{{name}} ' || regexp_replace(coalesce(text, ''), '[{}]', '', 'g') || ' {{lang}} {{name}} {{none}}', '{{name}}', 'N-' || doc_id), '{{lang}}', 'L')) AS filled FROM documents")
+_FILLED = r"regexp_replace(regexp_replace(body, '\{\{name\}\}', 'N-' || doc_id, 'g'), '\{\{lang\}\}', 'L', 'g')"
+
+
+@query("SELECT doc_id, md5(" + _FILLED + ") AS filled FROM (SELECT doc_id, '{{name}} ' || coalesce(text, '') || ' {{lang}} {{name}} {{none}} {{ name }} {lang}' AS body FROM documents)")
 def u2_apply_template(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("{{name}} "), F.regexp_replace(F.coalesce("text", F.lit("")), "[{}]", ""), F.lit(" {{lang}} {{name}} {{none}}"))
+    """Known names are filled; other braces stay as they are."""
+    body = F.concat(F.lit("{{name}} "), F.coalesce("text", F.lit("")), F.lit(" {{lang}} {{name}} {{none}} {{ name }} {lang}"))
     params = F.create_map(F.lit("name"), F.concat(F.lit("N-"), "doc_id"), F.lit("lang"), F.lit("L"))
     return table(spark, d, "documents").select("doc_id", F.md5(fx.apply_template(body, params)).alias("filled"))
 
 
-_NAME = r"coalesce(nullif(regexp_replace(regexp_replace(lower(trim(title)), '[^\p{L}\p{N}\p{Mn}_\s-]', '', 'g'), '[\s_]+', '_', 'g'), ''), 'query')"
+_NAME = r"coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}-]', '', 'g'), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}_]+', '_', 'g'), ''), 'query')".format(_STRIP.format("title"))
 
 
-@query(f"SELECT id, {_NAME} AS stem FROM q WHERE NOT regexp_matches(title, '[^ -~À-ÿ]')")
+@query(f"SELECT id, {_NAME} AS stem FROM q")
 def u3_safe_filename(spark: SparkSession, d: str) -> DataFrame:
-    return cat.queries(spark, d).where(~F.col("title").rlike("[^ -~À-ÿ]")).select("id", fx.safe_filename(F.col("title")).alias("stem"))
-
-
-@query(f"SELECT id, stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.sql' AS file_name FROM (SELECT id, stem, row_number() OVER (PARTITION BY project, stem ORDER BY id) - 1 AS k FROM (SELECT id, project, {_NAME} AS stem FROM q WHERE NOT regexp_matches(title, '[^ -~À-ÿ]')))")
-def u4_unique_names(spark: SparkSession, d: str) -> DataFrame:
-    q = cat.queries(spark, d).where(~F.col("title").rlike("[^ -~À-ÿ]")).select("id", "project", fx.safe_filename(F.col("title")).alias("stem"))
-    return coll.unique_names(q, "stem", "id").select("id", "file_name")
-
-
-@query()
-def u3_all_filenames(spark: SparkSession, d: str) -> DataFrame:
-    """The file stem of every title; u3_safe_filename has those of Latin-1 titles only, as its SQL does."""
+    """The file stem of every title."""
     return cat.queries(spark, d).select("id", fx.safe_filename(F.col("title")).alias("stem"))
 
 
-@query()
-def u4_all_names(spark: SparkSession, d: str) -> DataFrame:
-    """The free file name of every title, numbered over all titles."""
+@query(
+    rf""", stems AS (SELECT id, project, {_NAME} AS stem, row_number() OVER (PARTITION BY project, {_NAME} ORDER BY id) - 1 AS k FROM q),
+held AS (SELECT DISTINCT project, regexp_extract(stem, '^(.+)_([1-9][0-9]{{0,8}})$', 1) AS stem, try_cast(regexp_extract(stem, '^(.+)_([1-9][0-9]{{0,8}})$', 2) AS BIGINT) AS k FROM stems),
+most AS (SELECT s.project, s.stem, max(s.k) + (SELECT count(*) FROM held h WHERE h.project = s.project AND h.stem = s.stem) AS m FROM stems s GROUP BY s.project, s.stem),
+free AS (SELECT project, stem, n, row_number() OVER (PARTITION BY project, stem ORDER BY n) AS k FROM (SELECT project, stem, unnest(range(1, m + 1)) AS n FROM most) x WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.project = x.project AND h.stem = x.stem AND h.k = x.n))
+SELECT s.id, s.stem || CASE WHEN s.k = 0 THEN '' ELSE '_' || f.n END || '.sql' AS file_name FROM stems s LEFT JOIN free f ON f.project = s.project AND f.stem = s.stem AND f.k = s.k"""
+)
+def u4_unique_names(spark: SparkSession, d: str) -> DataFrame:
+    """U4: a free file name for every title, over all titles of a project."""
     q = cat.queries(spark, d).select("id", "project", fx.safe_filename(F.col("title")).alias("stem"))
     return coll.unique_names(q, "stem", "id").select("id", "file_name")
 
@@ -584,7 +632,7 @@ def u16_percent(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS total FROM q")
 def g4_total(spark: SparkSession, d: str) -> DataFrame:
     """Files over all projects."""
-    return table(spark, d, "queries").agg(F.countDistinct("id").alias("total"))
+    return coll.file_total(table(spark, d, "queries"))
 
 
 @query("SELECT project, rel_path, title, viewed_at FROM (SELECT q.project, q.rel_path, q.title, v.viewed_at, row_number() OVER (PARTITION BY q.project ORDER BY v.viewed_at DESC, q.rel_path) AS r FROM q JOIN (SELECT project, rel_path, max(viewed_at) AS viewed_at FROM views WHERE viewed_at IS NOT NULL GROUP BY ALL) v ON v.project = q.project AND v.rel_path = q.rel_path) WHERE r <= 10")
@@ -598,19 +646,22 @@ def c8_recent_by_project(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT project, tag, count(DISTINCT query_id) AS queries FROM links JOIN q ON q.id = query_id GROUP BY ALL")
 def c9_tags_by_project(spark: SparkSession, d: str) -> DataFrame:
     """Tags of each project with the number of their files."""
-    return cat.with_project(spark, d, cat.links(spark, d)).groupBy("project", "tag").agg(F.countDistinct("query_id").alias("queries"))
+    return coll.tags_by_project(cat.with_project(spark, d, cat.links(spark, d)))
 
 
 # -- watching ------------------------------------------------------------------------------
-_EVENTS = """, e AS (SELECT 'u' || user_id AS project, props || '.sql' AS path, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'modify' END AS op, ts FROM events)"""
+_EVENTS = """, e AS (
+SELECT 'u' || user_id AS project, props || '.sql' AS path, CASE WHEN event_type IN ('error', 'signup') THEN 'delete' ELSE 'modify' END AS op, ts FROM events
+UNION ALL SELECT 'u' || user_id, 'moved ' || props || '.sql', 'modify', ts FROM events WHERE event_type = 'signup')"""
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "moved").otherwise("modified")
     e = table(spark, d, "events").select(
         F.concat(F.lit("u"), "user_id").alias("project"),
         F.concat("props", F.lit(".sql")).alias("path"),
-        F.when(F.col("event_type") == "error", "deleted").otherwise("modified").alias("op"),
-        F.lit(None).cast("string").alias("dest"),
+        kind.alias("op"),
+        F.when(kind == "moved", F.concat(F.lit("moved "), "props", F.lit(".sql"))).alias("dest"),
         F.lit(False).alias("is_directory"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
@@ -619,14 +670,14 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_EVENTS + " SELECT project, path, op, ts FROM e")
 def w1_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Change events of SQL files."""
+    """Change events of SQL files; a move gives two."""
     return _events(spark, d).select("project", "path", "op", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(
     _EVENTS
     + """, marked AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY project ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM e),
-numbered AS (SELECT *, sum(cut) OVER (PARTITION BY project ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+numbered AS (SELECT *, sum(cut) OVER (PARTITION BY project ORDER BY ts) AS island FROM marked),
 lasts AS (SELECT project, island, path, arg_max(op, (ts, op)) AS op FROM numbered GROUP BY ALL),
 spans AS (SELECT project, island, min(ts) AS start FROM numbered GROUP BY ALL)
 SELECT s.project, s.start, string_agg(path, ' ' ORDER BY path) FILTER (op = 'modify') AS modified, string_agg(path, ' ' ORDER BY path) FILTER (op = 'delete') AS deleted FROM lasts l JOIN spans s USING (project, island) GROUP BY ALL"""

@@ -34,6 +34,7 @@ class ProjectFiles:
     def __init__(self, spark: SparkSession, root: str, project: str | None = None, hidden: bool = True):
         self.spark, self.base, self.hidden = spark, os.path.normpath(os.path.abspath(root)), hidden
         self.project = project or os.path.basename(self.base)
+        self.projects = [self.project]
 
     def listed(self) -> DataFrame:
         """project, rel_path, file_mtime (whole seconds), file_size."""
@@ -202,10 +203,23 @@ def parsed(files: DataFrame) -> DataFrame:
         *[F.col(f"p.{c}").alias(c) for c in ("description", "body", "tags", "created_at", "updated_at", "has_frontmatter", "encoding", "had_bom", "front")],
         "file_mtime",
         "file_size",
-        F.sha2("content", 256).alias("content_hash"),
+        content_hash("content").alias("content_hash"),
     ).withColumn("tags", stored_tags("tags"))
 
 
+def content_hash(content: str) -> Column:
+    """SHA-256 of the bytes, in hex."""
+    return F.sha2(content, 256)
+
+
+def folders(files: DataFrame) -> DataFrame:
+    """project, folder: every folder on the way to a file, none of whose parts begins with a dot."""
+    parts = F.split("rel_path", "/")
+    ways = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    out = files.where(F.contains("rel_path", F.lit("/"))).select("project", F.explode(ways).alias("folder")).distinct()
+    return out.where(~F.col("folder").rlike(r"(^|/)\."))
+
+
 def query_id(project: str, rel_path: str) -> Column:
     """Deterministic id of a file."""
     return F.xxhash64(project, rel_path)

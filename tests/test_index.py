@@ -182,6 +182,40 @@ def test_collections(spark):
     assert [r["tag"] for r in c.suggestions(tags.distinct(), tags.where("tag = 'a'"), "B").collect()] == ["b"]
     names = spark.createDataFrame([("p", 1, "x"), ("p", 2, "x"), ("p", 3, "y")], "project string, id long, stem string")
     assert {r["file_name"] for r in c.unique_names(names, "stem", "id").collect()} == {"x.sql", "x_1.sql", "y.sql"}
+    assert [tuple(r) for r in c.recent_projects(views.unionByName(views.where("viewed_at = 3").withColumn("project", c.F.lit("q")))).collect()] == [("p", 99), ("q", 3)]
+    assert c.file_total(q.limit(0)).first()[0] == 0
+
+
+def test_every_row_gets_a_free_name(spark, monkeypatch):
+    """Against one row at a time: numbers that are taken or are plain names of other stems are passed over; large groups are cut."""
+    monkeypatch.setattr(c, "WHOLE", 5)
+    monkeypatch.setattr(c, "CUTS", 4)
+    r = random.Random(8)
+    stems = ["x"] * 6 + ["x_1", "x_2", "x_2", "x_1_1", "y", "y_3", "z"]
+    rows = [(r.choice("ab"), k * 3, r.choice(stems)) for k in range(200)]
+    taken = [("a", "x.sql"), ("a", "x_3.sql"), ("a", "x_1.sql"), ("b", "y_1.sql"), ("b", "free.sql")]
+    df = spark.createDataFrame(rows, "project string, id long, stem string")
+    for names in ([], taken):
+        t = spark.createDataFrame(names, "project string, file_name string") if names else None
+        got = {(x["project"], x["id"]): x["file_name"] for x in c.unique_names(df, "stem", "id", t).collect()}
+        want, held = {}, set(names)
+        first = {}
+        for p, k, s in rows:
+            if (p, s) not in first and (p, f"{s}.sql") not in held:
+                first[p, s] = k
+                want[p, k] = f"{s}.sql"
+        held |= {(p, f"{s}.sql") for p, _, s in rows}
+        for p, k, s in rows:
+            n = 1
+            if (p, k) not in want:
+                while (p, f"{s}_{n}.sql") in held:
+                    n += 1
+                held.add((p, f"{s}_{n}.sql"))
+                want[p, k] = f"{s}_{n}.sql"
+        assert got == want and len(set((p, v) for (p, _), v in got.items())) == len(rows)
+    three = spark.createDataFrame([("p", 1, "x"), ("p", 2, "x"), ("p", 3, "x_1")], df.schema)
+    got = c.unique_names(three, "stem", "id", spark.createDataFrame([("p", "x.sql")], "project string, file_name string"))
+    assert sorted(x["file_name"] for x in got.collect()) == ["x_1.sql", "x_2.sql", "x_3.sql"]
 
 
 def test_stats(spark):

@@ -21,7 +21,7 @@ def _stem(title):
 def test_every_title_has_a_file_name(spark, tmp_path):
     rows = [(k, "a" if k % 5 else "b", v) for k, v in enumerate(TITLES)]
     spark.createDataFrame(rows, "id long, project string, title string").write.parquet(f"{tmp_path}/queries.parquet")
-    stems = {r["id"]: r["stem"] for r in QUERIES["u3_all_filenames"](spark, str(tmp_path)).collect()}
+    stems = {r["id"]: r["stem"] for r in QUERIES["u3_safe_filename"](spark, str(tmp_path)).collect()}
     assert stems == {k: _stem(v) for k, _, v in rows}
     seen, want = Counter(), {}
     for k, project, v in rows:
@@ -29,7 +29,7 @@ def test_every_title_has_a_file_name(spark, tmp_path):
         n = seen[project, s]
         seen[project, s] += 1
         want[k] = f"{s}_{n}.sql" if n else f"{s}.sql"
-    assert {r["id"]: r["file_name"] for r in QUERIES["u4_all_names"](spark, str(tmp_path)).collect()} == want
+    assert {r["id"]: r["file_name"] for r in QUERIES["u4_unique_names"](spark, str(tmp_path)).collect()} == want
 
 
 def test_stem_of_characters_outside_latin_1(spark):
@@ -44,4 +44,4 @@ def test_search_strings_as_they_stand(spark, tmp_path):
     for k, title, dialect, about, created in rows:
         found, _ = parse(f"table:{title or ''} tag:{dialect} {about or ''} date:{created or '-'}")
         want[k] = ("|".join(found["tag"]), "|".join(found["table"]))
-    assert {r["id"]: (r["tags"], r["tables"]) for r in QUERIES["search_parse_whole"](spark, str(tmp_path)).collect()} == want
+    assert {r["id"]: (r["tags"], r["tables"]) for r in QUERIES["search_parse"](spark, str(tmp_path)).collect()} == want
