@@ -59,11 +59,20 @@ def test_snippets_many(both):
 
 def test_postings_agree(both):
     _, df, _ = both
-    index, sizes = fts.postings(df), fts.lengths(df)
-    for text in ("kil relat", "order_i", "a.b caf"):
+    index, stats = fts.postings(df).cache(), fts.statistics(df).cache()
+    for text in ("kil relat", "order_i", "a.b caf", "ship ship", "x7 x", "rest.rest.r", "zz kil", ""):
         a = {r["query_id"]: round(r["rank"], 9) for r in fts.score(df, text).collect()}
-        b = {r["query_id"]: round(r["rank"], 9) for r in fts.score_postings(index, sizes, text).collect()}
-        assert a == b and a
+        b = {r["query_id"]: round(r["rank"], 9) for r in fts.score_postings(index, stats, text).collect()}
+        assert a == b
+        assert bool(a) == (text not in ("zz kil", "")) or text.startswith("rest.")
+
+
+def test_projects_have_their_own_statistics(both):
+    _, df, _ = both
+    two = df.unionByName(df.where("query_id % 3 = 0").withColumn("project", fts.F.lit("q")))
+    a = {(r["project"], r["query_id"]): round(r["rank"], 9) for r in fts.score(two, "kil caf").collect()}
+    b = {(r["project"], r["query_id"]): round(r["rank"], 9) for r in fts.score_postings(fts.postings(two), fts.statistics(two), "kil caf").collect()}
+    assert a == b and {p for p, _ in a} == {"p", "q"}
 
 
 def test_empty_and_malformed(both):
