@@ -130,7 +130,7 @@ def garbling_cost(text: str) -> float:
         elif kind == "L":
             if not common:
                 cost += 3
-            if c in ODD_LETTERS or c == "ı" and after == "e":
+            if c in ODD_LETTERS or c == "ı" and after in "eE":
                 cost += 1
             for other, near in ((before, left), (after, right)):
                 if near and (s := _script(other)) != script and {s, script} <= MIXABLE:
@@ -141,6 +141,8 @@ def garbling_cost(text: str) -> float:
                 cost += 1
             if upper and left and before.islower():
                 cost += 2
+            if not upper and left and right and before.isupper() and after.isupper():
+                cost += 1
             if upper and not left and not right:
                 cost += 0.5
         else:
