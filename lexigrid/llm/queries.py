@@ -98,6 +98,11 @@ def p5_causes(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("query_id"), "dialect", "cause", "language").distinct()
 
 
+def p5_grammars(spark: SparkSession, d: str) -> DataFrame:
+    """Files per dialect and grammar that accepts them."""
+    return syntax.grammar_counts(table(spark, d, "queries"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -131,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_lift, p1_all_lift, p2_found, p2_repaired, p3_found, p3_counts, p4_found, p4_counts, p4_title_ngrams,
-        p5_found, p5_rates, p5_causes, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found, p8_redacted,
+        p5_found, p5_rates, p5_causes, p5_grammars, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found, p8_redacted,
     )
 }
 

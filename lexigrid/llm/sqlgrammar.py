@@ -1,8 +1,8 @@
 """Syntax check of SQL scripts in three dialects: a tokenizer and a predictive parser.
 
-Only syntax counts; names are never looked up.  Tables, views, T-SQL modules,
-SQLite triggers and cursors are parsed; permissions, settings, indexes and other
-definitions are checked for balanced brackets only, by ``_Parser.loose``.
+Only syntax counts; names are never looked up.  Queries, changes, tables, views,
+T-SQL modules and SQLite triggers are here, other statements in
+``sqldefinitions``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 import sys
 import threading
 
+from .sqldefinitions import Definitions
+
 DIALECTS = ("tsql", "postgres", "sqlite")
 
 
@@ -174,9 +176,9 @@ _ATTRIBUTES = {
 }
 
 
-class _Parser:
+class _Parser(Definitions):
     def __init__(self, toks: list[str], src: list[str], dialect: str):
-        self.t, self.src, self.d, self.i = toks + [""], src, dialect, 0
+        self.t, self.src, self.d, self.i = toks + [""] * 4, src + [""] * 4, dialect, 0
         self.ts, self.pg, self.lite = dialect == "tsql", dialect == "postgres", dialect == "sqlite"
         self.reserved, self.binary = RESERVED[dialect], _BINARY[dialect]
         self.no_alias, self.callable = NO_ALIAS[dialect], CALLABLE[dialect]
@@ -232,30 +234,6 @@ class _Parser:
             self.name()
         self.need(")")
 
-    def loose(self, stop: set[str] | None = None) -> None:
-        """Any tokens with balanced brackets, up to ; or GO or the end, in T-SQL also up to the next statement; nothing else is checked."""
-        depth, first, begins, granted = 0, self.i, 0, self.t[self.i] in ("GRANT", "DENY", "REVOKE")
-        while (t := self.t[self.i]) != "":
-            if granted and t in ("TO", "FROM"):
-                granted = False
-            if self.ts and not depth and not begins and not granted and self.i - first > 1 and self.begins_statement(first):
-                break
-            if t in ("(", "["):
-                depth += 1
-            elif t in (")", "]"):
-                depth -= 1
-                if depth < 0:
-                    self.fail()
-            elif not depth and t in (";", "\n") and not begins:
-                break
-            elif t in ("BEGIN", "CASE"):
-                begins += 1
-            elif t == "END" and begins:
-                begins -= 1
-            self.i += 1
-        if depth or begins or self.i - first < 2:
-            self.fail()
-
     def begins_statement(self, first: int) -> bool:
         """Whether a word within a T-SQL statement begins another one, rather than being a clause of it."""
         before, t, after = self.t[self.i - 1 : self.i + 2] if self.t[self.i] else ("", "", "")
@@ -1279,6 +1257,18 @@ class _Parser:
             if t == "(" and self.lite:
                 self.fail()
             self.query()
+        elif t == "UPDATE" and self.ts and self.t[self.i + 1] == "STATISTICS":
+            self.i += 2
+            self.path()
+            if self.at("("):
+                self.names()
+            elif self.is_name(self.t[self.i]):
+                self.name()
+            if self.take("WITH"):
+                self.setting()
+                while not self.ends():
+                    self.take(",") or self.take("=")
+                    self.setting()
         elif t in ("INSERT", "UPDATE", "DELETE", "MERGE") or t == "REPLACE" and self.lite:
             self.dml()
         elif t in _LOOSE[self.d]:
@@ -1287,32 +1277,24 @@ class _Parser:
             self.i += 1
             if not self.take("TABLE") and self.ts:
                 self.fail()
-            self.path()
-            while self.pg and not self.at("", ";"):
-                self.i += 1
+            self.paths() if self.pg else self.path()
+            if self.pg:
+                self.words("RESTART", "CONTINUE", "IDENTITY", "CASCADE", "RESTRICT")
+            elif self.take("WITH"):
+                self.brackets()
         elif t in ("BEGIN", "COMMIT", "ROLLBACK", "START", "END", "ABORT") and not self.ts:
             self.i += 1
-            while self.is_name(self.t[self.i]) or self.at("TRANSACTION", "TO"):
-                self.i += 1
+            self.transaction(t)
         elif self.ts:
             self.ts_statement(t)
         elif self.pg and t == "SET":
-            self.loose()
+            self.i += 1
+            self.pg_set()
         else:
             self.fail()
         self.deep -= 1
 
     # -- definitions ---------------------------------------------------------------
-    def words(self, *words: str) -> None:
-        while self.at(*words):
-            self.i += 1
-
-    def exists(self) -> None:
-        if self.at("IF"):
-            self.i += 1
-            self.take("NOT")
-            self.need("EXISTS")
-
     def cursor(self) -> None:
         """The rest of a T-SQL cursor, behind its name."""
         self.words("INSENSITIVE", "SCROLL")
@@ -1393,72 +1375,6 @@ class _Parser:
             if not self.at(";"):  # T-SQL wants it after this statement alone
                 self.fail()
 
-    def definition(self, t: str) -> None:
-        """CREATE, ALTER, DROP, EXPLAIN, PREPARE and cursors: tables, views, modules and what else holds queries or statements; the others by ``loose``."""
-        first = self.i
-        self.i += 1
-        if t == "EXPLAIN":
-            if self.pg and self.at("(") and self.t[self.i + 1] not in ("SELECT", "WITH", "VALUES", "TABLE", "("):
-                self.brackets()
-            elif self.pg:
-                self.words("ANALYZE", "ANALYSE", "VERBOSE")
-            elif self.take("QUERY"):
-                self.need("PLAN")
-            self.statement()
-            return
-        if t == "PREPARE" and not self.at("TRANSACTION"):
-            self.name()
-            if self.at("("):
-                self.brackets()
-            self.need("AS")
-            self.statement()
-            return
-        if t == "DECLARE":
-            self.name()
-            self.words("BINARY", "INSENSITIVE", "ASENSITIVE", "NO", "SCROLL")
-            self.need("CURSOR")
-            if self.at("WITH", "WITHOUT"):
-                self.i += 1
-                self.need("HOLD")
-            self.need("FOR")
-            self.query()
-            return
-        if t == "DROP" and self.at("TABLE", "VIEW", "MATERIALIZED"):
-            self.take("MATERIALIZED")
-            self.i += 1
-            self.exists()
-            self.path()
-            while not self.lite and self.take(","):
-                self.path()
-            if self.pg:
-                self.words("CASCADE", "RESTRICT")
-            return
-        if t in ("CREATE", "ALTER"):
-            if self.take("OR"):
-                if not self.take("REPLACE"):
-                    self.need("ALTER")
-            self.words("TEMP", "TEMPORARY", "LOCAL", "GLOBAL", "UNLOGGED", "RECURSIVE", "MATERIALIZED")
-            kind = self.t[self.i]
-            if kind == "VIEW" and (t == "CREATE" or self.ts):
-                self.i += 1
-                self.view()
-                return
-            if kind == "TABLE":
-                self.i += 1
-                self.exists()
-                self.table() if t == "CREATE" else self.alter_table()
-                return
-            if self.ts and kind in ("PROC", "PROCEDURE", "FUNCTION", "TRIGGER"):
-                self.i += 1
-                self.module(kind)
-                return
-            if self.lite and kind == "TRIGGER":
-                self.i += 1
-                self.lite_trigger()
-                return
-        self.i = first
-        self.loose()
-
     def view(self) -> None:
         self.exists()
         self.path()
@@ -1568,7 +1484,8 @@ class _Parser:
         else:
             self.need("AS")
         if self.take("EXTERNAL"):
-            self.loose()
+            self.need("NAME")
+            self.path()
             return
         if self.at("", "\n"):
             self.fail()
@@ -1612,10 +1529,20 @@ class _Parser:
                 return
 
     def table(self) -> None:
-        """CREATE TABLE behind the word; options behind the columns by ``loose``."""
+        """CREATE TABLE behind the word; options behind the columns by ``table_options``."""
         self.path()
-        if self.pg and self.at("PARTITION", "OF") or self.ts and self.at("AS") and self.t[self.i + 1] in ("FILETABLE", "NODE", "EDGE"):
-            self.loose()
+        if self.pg and self.at("PARTITION", "OF"):
+            self.take("PARTITION")
+            self.need("OF")
+            self.path()
+            if self.at("("):
+                self.brackets()
+            self.take("DEFAULT") or self.bounds()
+            self.ends() or self.table_options()
+            return
+        if self.ts and self.at("AS") and self.t[self.i + 1] in ("FILETABLE", "NODE", "EDGE"):
+            self.i += 2
+            self.ends() or self.table_options()
             return
         if self.at("(") and not (self.pg and self.table_names()):
             self.elements()
@@ -1629,28 +1556,53 @@ class _Parser:
                         self.need("STRICT")
                     if not self.take(","):
                         return
-            self.i -= 1
-            while not self.at("", ";", "\n") and not (self.ts and self.begins_statement(self.i)):
-                self.i += 1
-                if self.at("("):
-                    self.brackets()
-                    self.i -= 1
-                elif self.at(")"):
-                    self.fail()
+            self.table_options()
             return
         if self.ts:
             self.fail()
         while self.pg and not self.at("", ";", "AS"):
             self.brackets() if self.at("(") else self.any_word()
         self.need("AS")
-        if self.pg and self.at("EXECUTE"):
-            self.loose()
+        if self.pg and self.take("EXECUTE"):
+            self.do_execute()
             return
         self.query()
         if self.pg and self.take("WITH"):
             self.take("NO")
             self.need("DATA")
 
+    def table_options(self) -> None:
+        """What may follow the columns of a table."""
+        while not self.ends():
+            if self.take("WITH"):
+                self.option_list()
+            elif self.at("ON", "TEXTIMAGE_ON", "FILESTREAM_ON", "TABLESPACE", "USING"):
+                self.i += 1
+                if self.pg and self.take("COMMIT"):
+                    self.chain("PRESERVE", "ROWS") or self.chain("DELETE", "ROWS") or self.need("DROP")
+                    continue
+                self.any_word()
+                if self.at("("):
+                    self.names()
+            elif self.pg and self.take("INHERITS"):
+                self.need("(")
+                self.paths()
+                self.need(")")
+            elif self.pg and self.take("PARTITION"):
+                self.need("BY")
+                self.one("RANGE", "LIST", "HASH")
+                self.need("(")
+                self.value()
+                while self.take(","):
+                    self.value()
+                self.need(")")
+            elif self.pg and self.take("WITHOUT"):
+                self.need("OIDS")
+            elif self.ts and self.take("AS"):
+                self.one("NODE", "EDGE")
+            else:
+                self.fail()
+
     def table_names(self) -> bool:
         """Names of columns in brackets before AS, without types."""
         k = self.i + 1
@@ -1849,9 +1801,21 @@ class _Parser:
                     self.name()
                     self.need("TO")
                 self.name()
+            elif self.pg:
+                self.action()
+            elif self.at("CHECK", "NOCHECK"):
+                self.i += 1
+                self.need("CONSTRAINT")
+                self.take("ALL") or self.name()
+            elif self.at("ENABLE", "DISABLE"):
+                self.i += 1
+                self.one("TRIGGER", "CHANGE_TRACKING")
+                self.ends() or self.take("ALL") or self.name()
+            elif self.at("SWITCH", "REBUILD", "SET"):
+                self.i += 1
+                self.rest_of(self.i) if not self.ends() else None
             else:
-                self.loose()
-                return
+                self.fail()
             if self.lite or not self.take(","):
                 return
             if self.ts:
@@ -1898,7 +1862,7 @@ class _Parser:
                 else:
                     self.value()
             elif self.take("TRANSACTION"):
-                self.loose()
+                self.modes()
             else:
                 self.any_word()
                 while self.at(",") or self.is_name(self.t[self.i]) and self.t[self.i] not in _STATEMENT:

@@ -1,10 +1,15 @@
 """p5: source files that do not parse.
 
-Every file is parsed by the grammar it claims.  A file that fails is parsed by
-all other grammars in the order of a ranking by tokens; a success names the
-language it really is in (``wrong extension``), and failure everywhere means it
-is corrupt: truncated, in conflict, or damaged.  A file that its own grammar
-accepts needs no other parse, as none could change its result.
+Languages are ranked by their tokens in the file, and the file is parsed by all
+supported grammars in that order.  A file is valid if the grammar of its dialect
+is among those that accept it.  Of an invalid file, the first foreign grammar
+that accepts it names its language (``wrong extension``); if none does, it is
+corrupt: truncated, in conflict, or damaged.
+
+JavaScript, C#, PowerShell, shell and Markdown have no grammar here. They are
+told by tokens alone, and only of files that no grammar accepts: several tokens
+of the language, more than of any SQL dialect, with brackets, quotes and block
+words in order.
 
 Defined results: null, empty and comment-only bodies are valid; an unknown or
 null dialect is checked against all SQL dialects and valid if one accepts it.
@@ -44,10 +49,10 @@ EVIDENCE = {
 _EVIDENCE = {k: re.compile(v, re.I | re.M) for k, v in EVIDENCE.items()}
 
 
-def rank(text: str) -> list[str]:
-    """Languages by how many of their tokens the text has; those without any are left out, SQL dialects never."""
+def rank(text: str) -> dict[str, int]:
+    """All languages with the number of different tokens of theirs in the text, most first."""
     hits = {k: len(set(m[0].strip().lower() for m in rx.finditer(text))) for k, rx in _EVIDENCE.items()}
-    return sorted((k for k in hits if hits[k] or k in DIALECTS), key=lambda k: (-hits[k], k))
+    return dict(sorted(hits.items(), key=lambda x: (-x[1], x[0])))
 
 
 class _Tags(HTMLParser):
@@ -92,24 +97,35 @@ def _json(text: str) -> bool:
 
 
 def _python(text: str) -> bool:
+    """More than bare names and literals, of which any word is one."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            return bool(ast.parse(text).body)
+            return any(not (isinstance(n, ast.Expr) and isinstance(n.value, (ast.Name, ast.Constant))) for n in ast.parse(text).body)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
 
 
 def _yaml(text: str) -> bool:
+    """Several entries of a mapping or a list; null bytes and the like are no YAML."""
+    import yaml
+
+    # the events are enough, and the first one that is no collection ends the parse
+    depth = entries = 0
     try:
-        import yaml
-    except ImportError:
-        return bool(re.fullmatch(r"(?:\s*(?:#.*|---|(?:- )?[\w.-]+:(?: .*)?|- .*)?(?:\n|$))+", text))
-    try:
-        out = yaml.safe_load(text)
+        for e in yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+            if isinstance(e, (yaml.MappingStartEvent, yaml.SequenceStartEvent)):
+                entries += depth == 1
+                depth += 1
+            elif isinstance(e, (yaml.MappingEndEvent, yaml.SequenceEndEvent)):
+                depth -= 1
+            elif isinstance(e, (yaml.ScalarEvent, yaml.AliasEvent)):
+                if not depth:
+                    return False
+                entries += depth == 1
     except (yaml.YAMLError, ValueError, RecursionError):
         return False
-    return isinstance(out, (dict, list)) and len(out) > 1
+    return entries > 1
 
 
 def _csv(text: str) -> bool:
@@ -143,44 +159,51 @@ def _markdown(text: str) -> bool:
     return bool(re.match(r"\s*#{1,6}\s", text)) and text.count("```") % 2 == 0
 
 
-FOREIGN = {
-    "json": _json,
-    "xml": _xml,
-    "html": _html,
-    "python": _python,
-    "javascript": _bracketed,
-    "csharp": _bracketed,
-    "powershell": _bracketed,
-    "shell": _shell,
-    "yaml": _yaml,
-    "markdown": _markdown,
-    "csv": _csv,
-}
+FOREIGN = {"json": _json, "xml": _xml, "html": _html, "python": _python, "yaml": _yaml, "csv": _csv}
+BY_TOKENS = {"javascript": _bracketed, "csharp": _bracketed, "powershell": _bracketed, "shell": _shell, "markdown": _markdown}
+# Fixed value: different tokens that tell a language without a grammar.
+TELLING = 2
 _EMPTY = re.compile(f"[{BLANK}]*")
 
 
-def diagnose(text: str | None, dialect: str | None) -> tuple[bool, str, str]:
-    """(valid, cause, language): cause is wrong extension, conflict, truncated or corrupt."""
-    if not text or _EMPTY.fullmatch(text):
-        return True, "", dialect or ""
-    if dialect not in DIALECTS:
-        for d in rank(text):
-            if d in DIALECTS and check(text, d)[0]:
-                return True, "", d
-        why = "syntax"
-    else:
-        valid, why, _ = check(text, dialect)
+def accepted(text: str, order: list[str]) -> tuple[list[str], dict[str, str]]:
+    """Languages whose grammars accept the text, in the order of the ranking, and why the SQL dialects among the others don't."""
+    out, why = [], {}
+    for k in order:
+        if k in DIALECTS:
+            valid, reason, _ = check(text, k)
+            if not valid:
+                why[k] = reason
+        else:
+            valid = k in FOREIGN and FOREIGN[k](text)
         if valid:
-            return True, "", dialect
-    if why == "conflict" or CONFLICT.search(text):
-        return False, "conflict", dialect or ""
-    for k in rank(text):
-        if k != dialect and (check(text, k)[0] if k in DIALECTS else FOREIGN[k](text)):
-            return False, "wrong extension", k
-    return False, "truncated" if why in ("end", "open") else "corrupt", dialect or ""
+            out.append(k)
+    return out, why
 
 
-RESULT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("cause", T.StringType()), T.StructField("language", T.StringType())])
+def diagnose(text: str | None, dialect: str | None) -> tuple[bool, str, str, list[str]]:
+    """(valid, cause, language, parses): cause is wrong extension, conflict, truncated or corrupt; parses lists all grammars that accept the file."""
+    if not text or _EMPTY.fullmatch(text):
+        return True, "", dialect or "", list(DIALECTS)
+    hits = rank(text)
+    parses, why = accepted(text, list(hits))
+    own = [d for d in (DIALECTS if dialect not in DIALECTS else (dialect,))]
+    good = [k for k in parses if k in own]
+    if good:
+        return True, "", good[0], parses
+    reason = why.get(dialect, "syntax")
+    if reason == "conflict" or CONFLICT.search(text):
+        return False, "conflict", dialect or "", parses
+    if parses:
+        return False, "wrong extension", parses[0], parses
+    most = max(hits[d] for d in DIALECTS)
+    for k, n in hits.items():
+        if k in BY_TOKENS and n >= TELLING and n > most and BY_TOKENS[k](text):
+            return False, "wrong extension", k, parses
+    return False, "truncated" if reason in ("end", "open") else "corrupt", dialect or "", parses
+
+
+RESULT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("cause", T.StringType()), T.StructField("language", T.StringType()), T.StructField("parses", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(RESULT)
@@ -199,9 +222,9 @@ _diagnosed = _diagnosed.asNondeterministic()
 
 
 def parsed_files(df: DataFrame, key: str = "id", body: str = "body", dialect: str = "dialect", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, dialect, the kept columns, valid, cause, language; one row per input row. A narrow map, no shuffle."""
+    """key, dialect, the kept columns, valid, cause, language, parses; one row per input row. A narrow map, no shuffle."""
     cols = [F.col(key), F.col(dialect), *map(F.col, keep)]
-    return spread(df.select(*cols, body)).select(*cols, _diagnosed(F.col(body), F.lower(F.col(dialect))).alias("_r")).select(key, dialect, *keep, "_r.valid", "_r.cause", "_r.language")
+    return spread(df.select(*cols, body)).select(*cols, _diagnosed(F.col(body), F.lower(F.col(dialect))).alias("_r")).select(key, dialect, *keep, "_r.valid", "_r.cause", "_r.language", "_r.parses")
 
 
 def invalid_files(df: DataFrame) -> DataFrame:
@@ -217,3 +240,9 @@ def invalid_rates(df: DataFrame) -> DataFrame:
         F.sum((~F.col("valid")).cast("long")).alias("invalid"),
         F.round(F.avg((~F.col("valid")).cast("double")), 6).alias("rate"),
     )
+
+
+def grammar_counts(df: DataFrame) -> DataFrame:
+    """files per dialect, grammar that accepts them, and whether they are valid; an id counts once, a file that no grammar accepts under an empty name."""
+    rows = parsed_files(df).select("id", "dialect", "valid", F.explode(F.when(F.size("parses") > 0, F.col("parses")).otherwise(F.array(F.lit("")))).alias("grammar")).distinct()
+    return rows.groupBy("dialect", "grammar", "valid").agg(F.count("*").alias("files"))
