@@ -88,6 +88,11 @@ _TOKEN = {
         "|(?P<op>\\|\\||->>|->|<<|>>|<=|>=|<>|!=|==|[-+*/%&|~=<>(),.;])"
     ),
 }
+_BLANKS = re.compile(f"(?:[{BLANK}]++|--[^\\r\\n]*+)*+")
+# The same tokens with the blanks before them.
+_FAST = {d: re.compile(_BLANKS.pattern + "(?:" + rx.pattern.split("|", 2)[2] + ")") for d, rx in _TOKEN.items()}
+_GO_LINE = re.compile(r"(?i)(?:^|[\r\n])\s*go\b")
+_MARK = {"text": "'", "name": '"', "num": "0", "var": "@", "tag": "'"}
 _COMMENT = re.compile(r"/\*|\*/")
 CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7}|={7})(?![<>=|])(?=[ \t\r\n]|$)", re.M)
 GO = re.compile(rf"[^\S\r\n]*GO(?:[^\S\r\n]+\d+)?[^\S\r\n]*;?[^\S\r\n]*(?:--[^\r\n]*)?(?=\r?\n|\r|$)", re.I)
@@ -98,9 +103,70 @@ def tokens(text: str, dialect: str) -> tuple[list[str], list[str]]:
 
     Raises Invalid for anything that is no token: an open literal, name or comment, a foreign character, a conflict marker.
     """
+    if dialect == "tsql" and _GO_LINE.search(text) or CONFLICT.search(text):
+        return _tokens_by_line(text, dialect)
+    out, src, at, n, pg, rx = [], [], 0, len(text), dialect == "postgres", _FAST[dialect]
+    while at < n:
+        for m in rx.finditer(text, at):
+            if m.start() != at:
+                break
+            kind = m.lastgroup
+            at = m.end()
+            if kind == "open":
+                at = _comment_end(text, at, dialect, len(out))
+                break
+            s = m[kind] if kind != "tag" else m["text"]
+            if kind == "word":
+                out.append(s.upper())
+            elif kind == "op":
+                if pg and len(s) > 1:
+                    short = _operator(s)
+                    out.append(short)
+                    src.append(short)
+                    if len(short) < len(s):
+                        at -= len(s) - len(short)
+                        break
+                    continue
+                out.append(s)
+            else:
+                out.append(_MARK[kind])
+            src.append(s)
+        else:
+            m = None
+        if m is None or m.start() > at:
+            at = _BLANKS.match(text, at).end()
+            if at < n and not rx.match(text, at):
+                raise Invalid("open" if text[at] in "'\"[`$" else "character", len(out))
+    return out, src
+
+
+def _operator(s: str) -> str:
+    """The PostgreSQL operator that a run of signs begins with: comments end it, and a trailing sign is another one."""
+    if "--" in s or "/*" in s:
+        return s[: min(k for k in (s.find("--"), s.find("/*")) if k >= 0)]
+    if s[-1] in "+-" and not set(s) & set("~!@#%^&|`?") and s not in ("->",):
+        return s.rstrip("+-") or s[0]
+    return s
+
+
+def _comment_end(text: str, at: int, dialect: str, seen: int) -> int:
+    """Where the comment that was opened before ``at`` ends; comments nest but in SQLite, where an open one ends with the input."""
+    depth = 1
+    while depth:
+        c = _COMMENT.search(text, at)
+        if not c:
+            if dialect != "sqlite":
+                raise Invalid("open", seen)
+            return len(text)
+        depth += (dialect != "sqlite") if c[0] == "/*" else -1
+        at = c.end()
+    return at
+
+
+def _tokens_by_line(text: str, dialect: str) -> tuple[list[str], list[str]]:
+    """The same for a text with lines that count: GO and conflict markers."""
     rx, out, src, at, n = _TOKEN[dialect], [], [], 0, len(text)
     marks = {m.start() for m in CONFLICT.finditer(text)}
-    nests = dialect != "sqlite"
     line = True
     while at < n:
         if at in marks:
@@ -112,9 +178,8 @@ def tokens(text: str, dialect: str) -> tuple[list[str], list[str]]:
             continue
         m = rx.match(text, at)
         if not m:
-            c = text[at]
-            raise Invalid("open" if c in "'\"[`$" else "character", len(out))
-        kind = m.lastgroup if m.lastgroup != "tag" else "text"
+            raise Invalid("open" if text[at] in "'\"[`$" else "character", len(out))
+        kind = m.lastgroup
         if kind == "blank":
             for k in marks:
                 if at < k < m.end():
@@ -125,27 +190,12 @@ def tokens(text: str, dialect: str) -> tuple[list[str], list[str]]:
                 at = m.start() + m[0].rindex("\n") + 1 if at > m.start() + m[0].rindex("\n") + 1 and GO.match(text, m.start() + m[0].rindex("\n") + 1) else at
             continue
         if kind == "open":
-            depth, at = 1, m.end()
-            while depth:
-                c = _COMMENT.search(text, at)
-                if not c:
-                    if nests:
-                        raise Invalid("open", len(out))
-                    return out, src  # SQLite: an open comment ends with the input
-                depth += (1 if nests else 0) if c[0] == "/*" else -1
-                at = c.end()
+            at = _comment_end(text, m.end(), dialect, len(out))
             continue
         s = m[0]
-        if kind == "word":
-            out.append(s.upper())
-        elif kind == "op":
-            if dialect == "postgres" and len(s) > 1 and ("--" in s or "/*" in s):
-                s = s[: min(k for k in (s.find("--"), s.find("/*")) if k >= 0)]
-            elif dialect == "postgres" and len(s) > 1 and s[-1] in "+-" and not set(s) & set("~!@#%^&|`?") and s not in ("->",):
-                s = s.rstrip("+-") or s[0]
-            out.append(s)
-        else:
-            out.append({"text": "'", "name": '"', "num": "0", "var": "@"}[kind])
+        if kind == "op" and dialect == "postgres" and len(s) > 1:
+            s = _operator(s)
+        out.append(s.upper() if kind == "word" else s if kind == "op" else _MARK[kind])
         src.append(s)
         at += len(s)
         line = False

@@ -29,29 +29,32 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..plans.spread import spread
 from .sqlgrammar import BLANK, CONFLICT, DIALECTS, check
 
-# Tokens that speak for a language; each distinct hit counts one.
+# Words and other tokens, in lower case, that speak for a language; each distinct one counts one.
 EVIDENCE = {
-    "tsql": r"\btop\s*\(?\d|\bgo\b|@\w+|\bnvarchar\b|\[\w+\]|\bnocount\b|\bcross\s+apply\b|\bdbo\.|\bgetdate\(",
-    "postgres": r"::\w+|\bilike\b|\blimit\s+\d|\$\$|\breturning\b|\binterval\s+'|\bserial\b|\bnow\(\)|\bjsonb?\b",
-    "sqlite": r"\bpragma\b|\bautoincrement\b|\blimit\s+\d|`\w+`|\bor\s+(?:replace|ignore)\b|\browid\b|\bifnull\(|\bstrftime\(",
-    "python": r"^\s*(?:import|from)\s+\w+|\bdef\s+\w+\(|\bself\.|\bprint\(|:\s*$|\belif\b",
-    "javascript": r"\b(?:const|let|var)\s+\w+\s*=|=>|\bfunction\b|===|\bmodule\.exports\b|\bexports\.|\brequire\(",
-    "csharp": r"\busing\s+[\w.]+;|\bnamespace\b|\bpublic\s+(?:static\s+)?(?:class|void|int|string)\b|\bget;|\bvar\s+\w+\s*=",
-    "powershell": r"\$\w+\s*=|\b(?:Get|Set|New|Invoke|Write|Import|Export)-\w+|\bparam\s*\(|-eq\b",
-    "shell": r"^#!.*\bsh\b|\bfi\b|\bdone\b|\becho\b|\$\{?\w+|\bset\s+-e|\bthen\b",
-    "html": r"<(?:html|body|table|div|p|h\d|tr|td|head)\b|</(?:html|body|table|div|p)>|<!doctype",
-    "xml": r"<\?xml|</[\w:.-]+>|/>|<[\w:.-]+\s+[\w:.-]+=\"",
-    "json": r"^\s*[{\[]|\"[\w ]+\"\s*:|[}\]]\s*$",
-    "yaml": r"^\s*[\w-]+:(?:\s|$)|^\s*-\s+\w+",
-    "markdown": r"^#{1,6}\s|^\s*[-*]\s|^```|\[[^\]]+\]\([^)]+\)|\*\*\w",
-    "csv": r"^[^\n;]+(?:;[^\n;]*)+$|^[^\n,]+(?:,[^\n,]*)+$|^[^\n\t]+(?:\t[^\n\t]*)+$|^[^\n|]+(?:\|[^\n|]*)+$",
+    "tsql": ("go nvarchar nocount dbo getdate top apply varchar isnull datetime2", r"@\w+|\[\w+\]"),
+    "postgres": ("ilike returning serial now json jsonb limit interval plpgsql", r"::\w+|\$\$"),
+    "sqlite": ("pragma autoincrement rowid ifnull strftime limit glob", r"`\w+`"),
+    "python": ("import def elif self print lambda yield none", r":\n\s+\w"),
+    "javascript": ("const let function require module exports null undefined typeof", r"=>|===|`[^`]*\$\{"),
+    "csharp": ("using namespace public private static void class string", r"\bget;|\bset;"),
+    "powershell": ("param foreach write-host", r"\$\w+\s*=|\b(?:get|set|new|invoke|write|import|export|foreach)-\w+|-eq\b"),
+    "shell": ("fi done echo esac then do", r"#!.*\bsh\b|\$\{?\w+|\bset -\w"),
+    "html": ("html body div href", r"<(?:html|body|table|div|p|h\d|tr|td|head)\b|</(?:html|body|table|div|p)>|<!doctype"),
+    "xml": ("xml xmlns", r"<\?xml|</[\w:.-]+>|/>|<[\w:.-]+\s+[\w:.-]+=\""),
+    "json": ("", r"\"[\w ]+\"\s*:|[{\[]\s*\n|\n\s*[}\]]"),
+    "yaml": ("", r"\n[\w-]+:(?:\s|$)|\n\s*- \w+"),
+    "markdown": ("", r"(?:^|\n)#{1,6}\s|\n\s*[*-]\s|\n```|\]\([^)]+\)|\*\*\w"),
+    "csv": ("", r"[;\t|](?=[\w\"-])"),
 }
-_EVIDENCE = {k: re.compile(v, re.I | re.M) for k, v in EVIDENCE.items()}
+_EVIDENCE = {k: (frozenset(w.split()), re.compile(rx)) for k, (w, rx) in EVIDENCE.items()}
+_WORDS = re.compile(r"[a-z]\w*(?:-\w+)?")
 
 
 def rank(text: str) -> dict[str, int]:
     """All languages with the number of different tokens of theirs in the text, most first."""
-    hits = {k: len(set(m[0].strip().lower() for m in rx.finditer(text))) for k, rx in _EVIDENCE.items()}
+    low = text.lower()
+    words = set(_WORDS.findall(low))
+    hits = {k: len(own & words) + len(set(rx.findall(low))) for k, (own, rx) in _EVIDENCE.items()}
     return dict(sorted(hits.items(), key=lambda x: (-x[1], x[0])))
 
 
