@@ -1,7 +1,9 @@
 """p8: personal information in free text.
 
-Regular expressions propose spans; validators (check digits of CPF, DNI/NIE,
-Luhn and ISO 7064 mod 97) confirm them; words nearby raise or lower the score.
+Regular expressions propose spans; validators (check digits of CPF and DNI/NIE,
+Luhn, mod 97) confirm them; words nearby raise or lower the score.  A number
+whose form carries a check digit needs no label if the digit fits, and isn't
+reported without a label if it doesn't; a label is enough for itself.
 Spans that reach the threshold are reported exactly as they stand and replaced
 by a typed placeholder.
 
@@ -58,6 +60,12 @@ CPF = plain_re.compile(r"(?<![\w.\-/+])(?:\d{3}[. ]\d{3}[. ]\d{3}[\- ./]\d{2}|\d
 DNI = plain_re.compile(r"(?<![\w.\-/+])(?:\d{8}|\d{2}\.\d{3}\.\d{3}|[XYZxyz][\- ]?\d{7})[\- ]?[A-Za-z](?![\w])")
 OTHER_ID = plain_re.compile(r"(?<![\w.\-/+])(?=[A-Z0-9 .\-/]*\d)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[A-Z0-9]){5,17}(?![\w])")
 
+# Numbers of persons that are told by form and check digits: Luhn with a date of birth (Sweden, South Africa), mod 97 (France, Belgium).
+CHECKED = plain_re.compile(
+    r"(?<![\w.\-/+])(?:(?P<se>(?:19|20)?\d{6}[-+]\d{4})|(?P<za>\d{6} \d{4} [01]8\d|\d{10}[01]8\d)|(?P<be>\d\d\.\d\d\.\d\d-\d{3}\.\d\d)"
+    r"|(?P<fr>[12] ?\d\d ?(?:0[1-9]|1[0-2]|[2-9]\d) ?(?:\d\d|2[AB]) ?\d{3} ?\d{3} ?\d\d))(?![\w]|[.\-/]\d)"
+)
+
 HOUSE = r"\d{1,5}(?:\s?[A-Za-z](?![\p{L}\d])|[\-/]\d{1,4})?"
 WORD = r"[\p{Lu}][\p{L}’'\-]*"
 EN_ADDRESS = re.compile(rf"(?<![\w.\-/+:,]){HOUSE} (?:(?:{WORD}|of|the) ){{1,4}}(?:{EN_WAYS}|(?i:{EN_WAYS}))\b(?![\w_])")
@@ -87,12 +95,16 @@ NAME_AFTER = re.compile(
     r"^(?:['\"]? as \w*name| (?:approved the|approved|signed off|confirmed|reported|asked|told|wrote to|lo confirmó|lo aprobó|confirmou|aprovou|pediu|foi corrigido|hat (?:das|es|den|die)|fragen|bestätigte|genehmigte|freigegeben|is on leave|ist im urlaub|está de férias|está de vacaciones)\b)",
     re.I,
 )
-# Words that never belong to a person's name; in texts about SQL files.
+# Keywords of SQL, articles, prepositions and pronouns of five languages, kinds of streets, months, and words of the cues themselves: none belongs to a name.
 NOT_NAME = set(
     "select from where group order by having inner left right full outer cross join union insert update delete into values set case when then else end and or not null is in as on asc desc distinct top limit between like exists with "
-    "the a an this that these those row rows version search totals why whoever use use release ledger checklist close import book address monthly granite harbor silver heron contact count sum min max avg build order table view index query "
-    "street st road rd lane avenue close rua av avenida calle paseo der die das des mit seit zeilen version mai may january february march april june july august september october november december "
-    "dear bitte gemeldet hi hello ask reported requested thanks regards saludos atenciosamente falei solicitado hablé cadastro owner author el la los las un una o os as um uma de da do com por en na no não para que se call tel phone mob send ship escalate national insurance social security number whatsapp cpf ssn dni sql etl id".split()
+    "count sum min max avg table view index query sql etl id row rows "
+    "the a an this that these those who whoever use why "
+    "el la los las un una o os as um uma de da do com por en na no não para que se der die das des mit seit "
+    "street st road rd lane avenue close rua av avenida calle paseo "
+    "january february march april may june july august september october november december mai "
+    "dear hi hello bitte gemeldet ask call tel phone mob send reported requested thanks regards saludos atenciosamente falei solicitado hablé cadastro owner author contact address escalate whatsapp "
+    "cpf ssn dni national insurance social security number version".split()
 )
 
 
@@ -115,9 +127,23 @@ def luhn(s: str) -> bool:
 
 
 def mod97(s: str) -> bool:
-    """ISO 7064 mod 97-10 as IBANs use it."""
-    t = re.sub(r"[^A-Z0-9]", "", s.upper())
-    return bool(re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{8,30}", t)) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    """The last two digits are 97 less the rest of the others by 97; the Corsican departments 2A and 2B count as 19 and 18."""
+    d = _digits(s.replace("2A", "19").replace("2B", "18"))
+    return len(d) > 2 and int(d[-2:]) == 97 - int(d[:-2]) % 97
+
+
+def birth(s: str) -> bool:
+    """Whether six digits can be year, month and day."""
+    return 1 <= int(s[2:4]) <= 12 and 1 <= int(s[4:6]) <= 31
+
+
+def checked(kind: str, s: str) -> bool:
+    """Whether the check digits of a form fit; Belgian numbers from 2000 on are checked with a 2 in front."""
+    if kind == "se":
+        return birth(_digits(s)[-10:]) and luhn(_digits(s)[-10:])
+    if kind == "za":
+        return birth(s) and luhn(s)
+    return mod97(s) or kind == "be" and mod97("2" + s)
 
 
 def cpf_ok(s: str) -> bool:
@@ -191,9 +217,12 @@ def _ids(text):
             elif kind == "ssn":
                 score += 2.0 if s[3] == "-" else 0.5
             elif kind == "other" and cue:
-                score -= 0.5 if luhn(s) or mod97(s) else 0.75
+                score -= 0.5
             if score >= THRESHOLD:
                 yield m.start(), m.end(), score + 2
+    for m in CHECKED.finditer(text):
+        if checked(m.lastgroup, m[0]) and not _COUNTED.search(text[max(0, m.start() - BEFORE) : m.start()]):
+            yield m.start(), m.end(), THRESHOLD + 3
 
 
 def _address(text):
@@ -246,7 +275,7 @@ def _name_at(text, start, end):
     while words and _PARTICLE.fullmatch(text[words[0][0] : words[0][1]]):
         words.pop(0)
     known = [text[a:b].lower().split("-")[0] in GIVEN for a, b in words]
-    if any(known[1:]) and not known[0] and "," not in text[start:end]:
+    if any(known[1:]) and not known[0] and "," not in text[start:end] and not NAME_BEFORE.search(text[max(0, words[0][0] - BEFORE) : words[0][0]]):
         words = words[known.index(True) :]
     if len(words) < 2:
         return

@@ -51,7 +51,27 @@ def test_validators():
     assert cpf_ok("529.982.247-25") and not cpf_ok("529.982.247-26") and not cpf_ok("111.111.111-11")
     assert dni_ok("12345678Z") and not dni_ok("12345678A") and dni_ok("X1234567L")
     assert luhn("4539 1488 0343 6467") and not luhn("4539 1488 0343 6468")
-    assert mod97("GB82 WEST 1234 5698 7654 32") and not mod97("GB82 WEST 1234 5698 7654 33")
+    assert mod97("85.07.30-033.28") and not mod97("85.07.30-033.29") and mod97("2 55 08 14 168 025 38") and not mod97("2 55 08 14 168 025 39")
+
+
+# Numbers that stand without a label; the check digit alone decides.
+UNLABELLED = ["811218-9876", "19811218-9876", "800101 5009 087", "8001015009087", "85.07.30-033.28", "2 55 08 14 168 025 38", "255081416802538", "529.982.247-25", "12345678Z"]
+
+
+@pytest.mark.parametrize("number", UNLABELLED)
+def test_check_digits_decide(number):
+    text = "the sheet says %s in its last line"
+    assert [(k, number) for _, _, k in find_spans(text % number)] == [("id_number", number)]
+    last = number[-1]
+    other = chr(ord(last) + 1) if last not in "9Z" else {"9": "8", "Z": "A"}[last]
+    assert find_spans(text % (number[:-1] + other)) == []
+    # a label is enough
+    assert [k for _, _, k in find_spans(f"passport number {number[:-1] + other} in it")] == ["id_number"]
+
+
+@pytest.mark.parametrize("name", ["Maria Clara Helena Souza Lima", "Zbigniew Jan Pawel Adam Kowalczyk", "Juan Carlos de la Cruz Romero Ortega"])
+def test_long_names_are_whole(name):
+    assert [f"Reported by {name} today."[a:b] for a, b, _ in find_spans(f"Reported by {name} today.")] == [name]
 
 
 def test_redact_keeps_the_rest():
