@@ -80,7 +80,7 @@ def p4_title_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and queries of every n-gram of up to three title words."""
     one = table(spark, d, "queries").select("id", "title").distinct()
     words = F.filter(F.split(F.lower("title"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    out = terms.ngram_counts(one.select("id", words.alias("words")), "id", "words", 3)
+    out = terms.ngram_counts(one.select("id", words.alias("words")), "id", "words", 3, unique=True)
     return out.select(F.array_join("gram", " ").alias("gram"), F.size("gram").alias("size"), "n", "records")
 
 
@@ -175,7 +175,13 @@ everything AS (
 SELECT e.field, e.term, e.n, e.records, CASE WHEN e.records < 3 THEN 'rare' WHEN 20 * e.records > t.total THEN 'common' END AS mark
 FROM everything e LEFT JOIN totals t USING (field)"""
 
+_WORDS = r"list_filter(string_split_regex(lower(title), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_NGRAMS = " UNION ALL ".join(
+    f"SELECT id, array_to_string(w[p:p + {k - 1}], ' ') AS gram, {k} AS size FROM (SELECT id, w, unnest(range(1, len(w) + {2 - k})) AS p FROM words WHERE len(w) >= {k})" for k in (1, 2, 3)
+)
+
 SQL = {
+    "p4_title_ngrams": f"WITH words AS (SELECT DISTINCT id, {_WORDS} AS w FROM queries), grams AS ({_NGRAMS}) SELECT gram, size, count(*) AS n, count(DISTINCT id) AS records FROM grams GROUP BY gram, size",
     "p1_found": f"SELECT field, item_a, item_b FROM ({_pair_sql(3)})",
     "p1_lift": f"SELECT field, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift, round(log2(n_ab * n / (n_a * n_b)), 6) AS pmi FROM ({_pair_sql(0)})",
     "p4_found": f"SELECT field, term, mark FROM ({_COUNTS}) WHERE mark IS NOT NULL",

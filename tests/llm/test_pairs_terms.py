@@ -68,8 +68,11 @@ def test_ngrams(spark):
     rows = [(r.choice([1, 1, 1] + list(range(20))), [r.choice("aaabcdé") for _ in range(r.randint(0, 12))]) for _ in range(150)] + [(3, None), (None, ["a"]), (4, [None, "a"])]
     df = spark.createDataFrame(rows, "r long, t array<string>")
     for sigma in (1, 2, 3, 5):
-        got = {(tuple(x["gram"]), x["n"], x["records"]) for x in ngram_counts(df, "r", "t", sigma, 4).collect()}
+        got = {(tuple(x["gram"]), x["n"], x["records"]) for x in ngram_counts(df, "r", "t", sigma).collect()}
         assert got == _grams(rows, sigma)
+        own = [(k, seq) for k, (_, seq) in enumerate(rows)]
+        each = spark.createDataFrame(own, "r long, t array<string>")
+        assert {(tuple(x["gram"]), x["n"], x["records"]) for x in ngram_counts(each, "r", "t", sigma, unique=True).collect()} == _grams(own, sigma)
     assert ngram_counts(df.limit(0), "r", "t", 2).count() == 0
 
 
