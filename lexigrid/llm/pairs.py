@@ -5,6 +5,10 @@ dropped (a pair is never more frequent than its rarer item), ordered pairs are
 emitted from each basket and counted with map-side combining; lift and PMI come
 from the marginals.
 
+A basket of more than CHUNK items is cut into chunks, and each pair of chunks is
+a row of its own that is placed by its hash, so that the pairs of one long
+basket come from many tasks and no row holds them all.
+
 Defined results: null baskets and null items don't count; an item occurs in a
 basket or not, however often; a basket with one item has no pair but counts in N.
 """
@@ -13,25 +17,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Fixed value: items of one chunk of a long basket, on average.
-CHUNK = 256
+from ..sources.shared import checkpoints
+
+# Items of one chunk of a long basket, and bytes of a list of items that is broadcast.
+CHUNK, SMALL = 256, 64 << 20
+
+
+def _pairs(left: str, right: str, of: DataFrame) -> DataFrame:
+    """item_a, item_b from two arrays of a row, each pair once."""
+    one = of.select(F.explode(left).alias("x"), right)
+    return one.select("x", F.explode(right).alias("y")).select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+
+
+def _within(of: DataFrame) -> DataFrame:
+    """item_a, item_b from the sorted array ``items`` of a row."""
+    split = of.select(F.posexplode("items").alias("p", "item_a"), "items").where(F.col("p") + 1 < F.size("items"))
+    return split.select("item_a", F.explode(F.slice("items", F.col("p") + 2, F.size("items"))).alias("item_b"))
 
 
-def _firsts(kept: DataFrame) -> DataFrame:
-    """item_a with the larger items of its basket; the baskets are split by that item first, so one long basket spreads over tasks."""
-    baskets = kept.groupBy("b").agg(F.array_sort(F.collect_set("i")).alias("items")).where(F.size("items") > 1)
-    split = baskets.select(F.posexplode("items").alias("p", "item_a"), "items").where(F.col("p") + 1 < F.size("items"))
-    return split.select("item_a", F.slice("items", F.col("p") + 2, F.size("items")).alias("rest"))
+def _emitted(kept: DataFrame) -> DataFrame:
+    """All pairs of the baskets, where a basket's items fit a row by the support."""
+    baskets = kept.groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("items")).where("size(items) > 1")
+    count = F.ceil(F.size("items") / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice("items", k * CHUNK + 1, F.lit(CHUNK)))
+    parts = baskets.where(F.size("items") > CHUNK).select("b", chunks.alias("chunks")).select("b", F.posexplode("chunks").alias("k", "items"), "chunks")
+    met = parts.select("b", "k", "items", F.posexplode("chunks").alias("m", "others")).where("m >= k")
+    spread = met.withColumn("others", F.when(F.col("m") > F.col("k"), F.col("others"))).repartition(F.xxhash64("b", "k", "m"))
+    short = _within(baskets.where(F.size("items") <= CHUNK))
+    return short.unionByName(_within(spread.where("others is null"))).unionByName(_pairs("items", "others", spread.where("others is not null")))
 
 
 def _chunked(kept: DataFrame) -> DataFrame:
-    """The same in rows of bounded size: items go to chunks of their basket by hash, and each item meets every chunk of it."""
-    sizes = kept.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").select("b", F.ceil(F.col("size") / CHUNK).alias("chunks"))
-    placed = kept.join(sizes, "b").select("b", "i", "chunks", F.pmod(F.xxhash64("i"), "chunks").alias("chunk"))
-    chunks = placed.groupBy("b", "chunk").agg(F.collect_list("i").alias("items"))
-    firsts = placed.select("b", F.col("i").alias("item_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    met = firsts.join(chunks, ["b", "chunk"])
-    return met.select("item_a", F.filter("items", lambda x: x > F.col("item_a")).alias("rest"))
+    """The same without a bound on a basket: items go to chunks of their basket by hash, and chunks meet each other by a join on basket and both chunks."""
+    sizes = kept.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").select("b", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    placed = kept.join(sizes, "b").select("b", "i", "chunks", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int").alias("k"))
+    rows = placed.groupBy("b", "chunks", "k").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    long = rows.where("chunks > 1")
+    left = long.where("k < chunks - 1").select("b", "k", F.explode(F.sequence(F.col("k") + 1, F.col("chunks") - 1)).alias("m"), "items")
+    right = long.where("k > 0").select("b", F.col("k").alias("m"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k"), F.col("items").alias("others"))
+    return _within(rows).unionByName(_pairs("items", "others", left.join(right, ["b", "k", "m"])))
 
 
 def item_pairs(
@@ -40,24 +64,22 @@ def item_pairs(
     """item_a, item_b (item_a < item_b), n_ab, n_a, n_b, n, lift, pmi of pairs in at least min_count baskets and min_share of all.
 
     With min_share > 0 at most (mean basket size) / min_share items survive the
-    support filter, whatever the data's size: that is the bound on the broadcast
-    list of items and on the length of a basket.  Without it the items are joined
-    by shuffle, and a basket is cut into chunks of about CHUNK items.  A pair is
-    emitted once per basket, from its smaller item.
+    support filter, whatever the data's size: that bounds the length of a basket.
+    The list of surviving items is written first, and is broadcast only if its
+    size, which is then known, is below SMALL; beyond that, and without a support
+    share, it is joined by shuffle.
     """
+    checkpoints(df.sparkSession)
     one = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).distinct()
     total = one.select("b").distinct().agg(F.count("*")).scalar()
-    counts = one.groupBy("i").agg(F.count("*").alias("c")).withColumn("n", total)
-    frequent = counts.where((F.col("c") >= min_count) & (F.col("c") >= min_share * F.col("n")))
-    small = F.broadcast(frequent.select("i", "c")) if min_share > 0 else frequent.select("i", "c")
-    kept = one.join(small, "i").select("b", "i")
-    rest = _firsts(kept) if min_share > 0 else _chunked(kept)
-    pairs = rest.select("item_a", F.explode("rest").alias("item_b")).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab"))
-    pairs = pairs.where(F.col("n_ab") >= min_count)
-    a = frequent.select(F.col("i").alias("item_a"), F.col("c").alias("n_a"), "n")
-    b = frequent.select(F.col("i").alias("item_b"), F.col("c").alias("n_b"))
-    if min_share > 0:
-        a, b = F.broadcast(a), F.broadcast(b)
+    counts = one.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") >= min_count).withColumn("n", total)
+    frequent = counts.where(F.col("c") >= min_share * F.col("n")).checkpoint()
+    size = frequent.agg(F.coalesce(F.sum(F.octet_length("i") + 64), F.lit(0))).first()[0]
+    hint = F.broadcast if size <= SMALL else lambda x: x
+    kept = one.join(hint(frequent.select("i")), "i").select("b", "i")
+    pairs = (_emitted if min_share > 0 else _chunked)(kept).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
+    a = hint(frequent.select(F.col("i").alias("item_a"), F.col("c").alias("n_a"), "n"))
+    b = hint(frequent.select(F.col("i").alias("item_b"), F.col("c").alias("n_b")))
     out = pairs.join(a, "item_a").join(b, "item_b").where(F.col("n_ab") >= min_share * F.col("n"))
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
     # the threshold is compared in whole numbers when it is one

@@ -4,8 +4,10 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
+from lexigrid.llm import pairs
 from lexigrid.llm.pairs import item_pairs
 from lexigrid.llm.terms import ngram_counts, plain_value, value_counts
 
@@ -38,6 +40,18 @@ def test_pairs(spark):
     assert abs(x["lift"] - x["n_ab"] * x["n"] / (x["n_a"] * x["n_b"])) < 1e-12
 
 
+@pytest.mark.parametrize("small", [0, 64 << 20])
+def test_long_baskets_are_cut(spark, monkeypatch, small):
+    """Baskets around and far beyond a chunk, with and without a broadcast, against brute force."""
+    monkeypatch.setattr(pairs, "CHUNK", 4)
+    monkeypatch.setattr(pairs, "SMALL", small)
+    r = random.Random(3)
+    rows = [(b, f"t{r.randint(0, 25)}") for b, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 12, 13, 20, 40, 40, 200]) for _ in range(n)]
+    df = spark.createDataFrame(rows, "q long, i string")
+    for least, share in ((1, 0.0), (2, 0.01)):
+        assert _got(item_pairs(df, "q", "i", least, share, 0)) == _brute(rows, least, share, 0)
+
+
 def test_one_basket_holds_a_third(spark):
     rows = [(0, f"t{k % 40}") for k in range(3000)] + [(1 + k // 3, f"t{(k * 7) % 40}") for k in range(6000)]
     df = spark.createDataFrame(rows, "q long, i string")
