@@ -4,9 +4,9 @@ A body is a record of fields: one field ``text`` (all tokens outside the first
 SELECT list) and one field ``item`` per entry of that list.  Each pair of field
 name and value is hashed; a record's fingerprint is the sum of its pairs' hashes
 modulo 2**128, which no order of the fields can change.  Rows are grouped by
-fingerprint with map-side combining, and every distinct form of a group is
-compared with the group's representative as a multiset of fields: by counting,
-without sorting.  A form that only shares the fingerprint becomes its own class.
+fingerprint with map-side combining, and every member of a group is compared
+with the group's first as a multiset of fields: by counting, without sorting.
+A body that only shares the fingerprint becomes its own class.
 
 Defined results: a null or empty body, or one without a word, has no class.  An
 id delivered twice counts once.  The smallest id of a class is its keeper.
@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.spread import spread
+from ..sources.shared import checkpoints
 
-SALTS = 16
+# A group is hot with more rows than both of these, the second being a share of all rows.
+HOT, HOT_SHARE = 1000, 100_000
 FIELD, ITEM = "\x1e", "\x1f"
 _SPACE = re.compile("[\\s﻿]+")
 _TOKEN = re.compile(
@@ -150,56 +151,109 @@ def _formed(bodies):
 _formed = _formed.asNondeterministic()
 
 
-@F.pandas_udf(T.BooleanType())
-def _same(a, b):
+@F.pandas_udf(T.StringType())
+def _fingerprints(bodies):
     import pandas as pd
 
-    return pd.Series([same_fields(x, y) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([None if (f := form_of(b)) is None else fingerprint(f) for b in bodies], dtype=object)
+
+
+_fingerprints = _fingerprints.asNondeterministic()
+
+# keep_id is null where a part of a hot group is summed up: n members, and the form they share.
+CHECKED = T.StructType([T.StructField(k, t) for k, t in (("fp", T.StringType()), ("part", T.IntegerType()), ("v", T.IntegerType()), ("id", T.LongType()), ("keep_id", T.LongType()), ("n", T.LongType()), ("form", T.StringType()))])
+
+
+def _checked(batches):
+    """Members of each group, which come sorted by group and id, compared with the first of each variant; a group has more than one only if fingerprints collide.
+
+    A member of a whole group (part < 0) comes out with the smallest id of its
+    variant, one without a second member not at all.  Of a part of a hot group
+    each variant is summed up as well.
+    """
+    import pandas as pd
+
+    group, variants, out = None, [], []
+
+    def close() -> None:
+        if group is not None and group[1] >= 0:
+            out.extend((*group, v, first, None, n, form) for v, (form, first, n) in enumerate(variants))
+
+    for batch in batches:
+        for fp, part, i, form in zip(batch["fp"], batch["part"].tolist(), batch["id"].tolist(), batch["form"]):
+            if (fp, part) != group:
+                close()
+                group, variants = (fp, part), []
+            v = next((v for v, x in enumerate(variants) if same_fields(x[0], form)), len(variants))
+            if v == len(variants):
+                variants.append([form, i, 0])
+            x = variants[v]
+            x[2] += 1
+            if part >= 0:
+                out.append((fp, part, v, i, i, 0, None))
+            elif x[2] > 1:
+                if x[2] == 2:
+                    out.append((fp, part, v, x[1], x[1], 0, None))
+                out.append((fp, part, v, i, x[1], 0, None))
+        yield pd.DataFrame(out, columns=CHECKED.names).astype({"id": "int64", "keep_id": "Int64"})
+        out.clear()
+    close()
+    yield pd.DataFrame(out, columns=CHECKED.names).astype({"id": "int64", "keep_id": "Int64"})
+
+
+MERGED = "fp string, part int, v int, all int, keep_id long"
+
+
+def _merged(batches):
+    """Variants of the parts of each hot group, sorted by group and first id, brought together: the variant of the whole group and its smallest id."""
+    import pandas as pd
+
+    group, variants, held, out = None, [], [], []
+
+    def close() -> None:
+        out.extend((group, part, v, g, variants[g][1]) for part, v, g in held if variants[g][2] > 1)
+
+    for batch in batches:
+        for fp, part, v, first, n, form in zip(batch["fp"], batch["part"].tolist(), batch["v"].tolist(), batch["id"].tolist(), batch["n"].tolist(), batch["form"]):
+            if fp != group:
+                close()
+                group, variants, held = fp, [], []
+            g = next((g for g, x in enumerate(variants) if same_fields(x[0], form)), len(variants))
+            if g == len(variants):
+                variants.append([form, first, 0])
+            variants[g][2] += n
+            held.append((part, v, g))
+        yield pd.DataFrame(out, columns=["fp", "part", "v", "all", "keep_id"])
+        out.clear()
+    close()
+    yield pd.DataFrame(out, columns=["fp", "part", "v", "all", "keep_id"])
 
 
 def copy_classes(df: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
     """id, class, keep_id: one row per id that has a class of two ids or more.
 
-    Bodies are read once into (id, fingerprint, digest of the form), which is
-    checkpointed.  Only fingerprints with several distinct forms are read again:
-    one id of each such form meets its representative.  A hot class costs one
-    row per task before the first shuffle, and the way back from class to ids is
-    a join salted by id, so no task holds a whole class.
+    Bodies are read once into (id, fingerprint), which is checkpointed; that is
+    a job of its own.  The bodies of ids that share a fingerprint are read again
+    and meet by fingerprint.  Hot groups, of which there are HOT_SHARE at most,
+    are known by a broadcast list, come in parts by id, and only one row for each
+    part is brought together, so no task holds such a group.
     """
-    _checkpoint_dir(df)
+    checkpoints(df.sparkSession)
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(body).cast("string").alias("body"))
-    rows = spread(source).select("id", _formed("body").alias("f")).select("id", "f.fp", F.md5("f.form").alias("m")).where(F.col("fp").isNotNull())
-    rows = rows.checkpoint()
-    forms = rows.groupBy("fp", "m").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    classes = forms.groupBy("fp").agg(F.min("first").alias("keep_id"), F.max("last").alias("hi"), F.min_by("m", "first").alias("rep"), F.count("*").alias("forms")).where("keep_id < hi")
-    plain = classes.where("forms = 1").select("fp", F.col("rep").alias("m"), F.lit("").alias("part"), "keep_id")
-    several = forms.join(classes.where("forms > 1").select("fp", F.col("keep_id").alias("rep_id"), "rep"), "fp")
-    # the texts of one id per form, read again
-    wanted = several.select(F.col("first").alias("id")).unionByName(several.select(F.col("rep_id").alias("id"))).distinct()
-    texts = source.join(wanted, "id", "left_semi").select("id", _formed("body")["form"].alias("form"))
-    texts = texts.select("id", F.md5("form").alias("m"), "form").dropDuplicates(["id", "m"])
-    met = several.join(texts.select(F.col("id").alias("first"), "m", "form"), ["first", "m"]).join(
-        texts.select(F.col("id").alias("rep_id"), F.col("m").alias("rep"), F.col("form").alias("rep_form")), ["rep_id", "rep"]
-    )
-    checked = met.select("fp", "m", "first", "last", F.when(_same("form", "rep_form"), F.lit("")).otherwise(F.md5(_sorted("form"))).alias("part"))
-    keep = checked.groupBy("fp", "part").agg(F.min("first").alias("keep_id"), F.max("last").alias("hi")).where("keep_id < hi").drop("hi")
-    parts = checked.select("fp", "m", "part").join(keep, ["fp", "part"]).select("fp", "m", "part", "keep_id").unionByName(plain)
-    parts = parts.select("fp", "m", F.concat("fp", "part").alias("class"), "keep_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return salted.join(parts, ["fp", "m", "salt"]).select("id", "class", "keep_id").distinct()
-
-
-def _checkpoint_dir(df: DataFrame) -> None:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrid"))
-
-
-def _sorted(form: str) -> Column:
-    """Canonical form; only forms whose fingerprints collide are told apart by it."""
-    head = F.substring_index(F.col(form), FIELD, 1)
-    return F.concat(head, F.lit(FIELD), F.array_join(F.array_sort(F.split(F.substring_index(F.col(form), FIELD, -1), ITEM)), ITEM))
+    rows = spread(source).select("id", _fingerprints("body").alias("fp")).where(F.col("fp").isNotNull()).checkpoint()
+    hot = max(HOT, rows.count() // HOT_SHARE)
+    groups = rows.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("fp", "n")
+    large = F.broadcast(groups.where(F.col("n") > hot).select("fp", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    in_parts = rows.join(large, "fp").select("id", "fp", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    rest = rows.join(large, "fp", "left_anti").join(groups.where(F.col("n") <= hot).select("fp"), "fp").select("id", "fp", F.lit(-1).alias("part"))
+    members = in_parts.unionByName(rest).distinct()
+    texts = source.join(members, "id").select("id", "fp", "part", _formed("body").alias("f")).where(F.col("f.fp") == F.col("fp")).select("id", "fp", "part", F.col("f.form").alias("form"))
+    met = texts.dropDuplicates(["id", "fp"]).repartition("fp", "part").sortWithinPartitions("fp", "part", "id").mapInPandas(_checked, CHECKED)
+    met = met.checkpoint()
+    whole = met.where("part < 0").select("id", F.concat_ws(".", "fp", "v").alias("class"), "keep_id")
+    sums = met.where("keep_id is null").repartition("fp").sortWithinPartitions("fp", "id").mapInPandas(_merged, MERGED)
+    split = met.where("part >= 0 and keep_id is not null").drop("keep_id").join(sums, ["fp", "part", "v"]).select("id", F.concat_ws(".", "fp", "all").alias("class"), "keep_id")
+    return whole.unionByName(split)
 
 
 def copies(df: DataFrame) -> DataFrame:
