@@ -17,8 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.shared import checkpoints
-
 # Items of one chunk of a long basket, and bytes of a list of items that is broadcast.
 CHUNK, SMALL = 256, 64 << 20
 
@@ -58,6 +56,13 @@ def _chunked(kept: DataFrame) -> DataFrame:
     return _within(rows).unionByName(_pairs("items", "others", left.join(right, ["b", "k", "m"])))
 
 
+def _bytes(df: DataFrame, basket: str, item: str, share: float) -> float:
+    """Most bytes that the surviving items can have: each stands in a share of all baskets, so that many copies of it are in the bytes of all rows. Baskets are counted to within a few percent, for which twice the result is taken."""
+    rows = df.select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).where("b is not null and i is not null")
+    size = rows.agg(F.sum(F.octet_length("i") + 64).alias("bytes"), F.approx_count_distinct("b").alias("baskets")).first()
+    return 2 * (size["bytes"] or 0) / (share * max(1, size["baskets"]))
+
+
 def item_pairs(
     df: DataFrame, basket: str, item: str, min_count: int = 5, min_share: float = 0.0, min_lift: float = 0.0
 ) -> DataFrame:
@@ -65,17 +70,15 @@ def item_pairs(
 
     With min_share > 0 at most (mean basket size) / min_share items survive the
     support filter, whatever the data's size: that bounds the length of a basket.
-    The list of surviving items is written first, and is broadcast only if its
-    size, which is then known, is below SMALL; beyond that, and without a support
-    share, it is joined by shuffle.
+    The list of surviving items is broadcast only if ``_bytes``, a bound that is
+    taken from the data, is below SMALL; beyond that, and without a support share,
+    it is joined by shuffle.
     """
-    checkpoints(df.sparkSession)
+    hint = F.broadcast if min_share > 0 and _bytes(df, basket, item, min_share) <= SMALL else lambda x: x
     one = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).distinct()
     total = one.select("b").distinct().agg(F.count("*")).scalar()
     counts = one.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") >= min_count).withColumn("n", total)
-    frequent = counts.where(F.col("c") >= min_share * F.col("n")).checkpoint()
-    size = frequent.agg(F.coalesce(F.sum(F.octet_length("i") + 64), F.lit(0))).first()[0]
-    hint = F.broadcast if size <= SMALL else lambda x: x
+    frequent = counts.where(F.col("c") >= min_share * F.col("n"))
     kept = one.join(hint(frequent.select("i")), "i").select("b", "i")
     pairs = (_emitted if min_share > 0 else _chunked)(kept).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
     a = hint(frequent.select(F.col("i").alias("item_a"), F.col("c").alias("n_a"), "n"))
