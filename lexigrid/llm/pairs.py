@@ -21,28 +21,21 @@ from pyspark.sql import DataFrame, functions as F
 CHUNK, SMALL = 256, 64 << 20
 
 
-def _pairs(left: str, right: str, of: DataFrame) -> DataFrame:
-    """item_a, item_b from two arrays of a row, each pair once."""
-    one = of.select(F.explode(left).alias("x"), right)
-    return one.select("x", F.explode(right).alias("y")).select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
-
-
-def _within(of: DataFrame) -> DataFrame:
-    """item_a, item_b from the sorted array ``items`` of a row."""
-    split = of.select(F.posexplode("items").alias("p", "item_a"), "items").where(F.col("p") + 1 < F.size("items"))
-    return split.select("item_a", F.explode(F.slice("items", F.col("p") + 2, F.size("items"))).alias("item_b"))
+def _ordered(rows: DataFrame) -> DataFrame:
+    """item_a, item_b, each pair once: of the sorted array ``items`` with ``others``, all of which are larger, or with itself where that is null."""
+    split = rows.select(F.posexplode("items").alias("p", "item_a"), "items", "others")
+    rest = F.coalesce("others", F.slice("items", F.col("p") + 2, F.size("items")))
+    return split.select("item_a", F.explode(rest).alias("item_b"))
 
 
 def _emitted(kept: DataFrame) -> DataFrame:
-    """All pairs of the baskets, where a basket's items fit a row by the support."""
+    """All pairs of the baskets, where a basket's items fit a row by the support. Arrays are placed by their hash before pairs come of them."""
     baskets = kept.groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("items")).where("size(items) > 1")
     count = F.ceil(F.size("items") / CHUNK).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice("items", k * CHUNK + 1, F.lit(CHUNK)))
-    parts = baskets.where(F.size("items") > CHUNK).select("b", chunks.alias("chunks")).select("b", F.posexplode("chunks").alias("k", "items"), "chunks")
-    met = parts.select("b", "k", "items", F.posexplode("chunks").alias("m", "others")).where("m >= k")
-    spread = met.withColumn("others", F.when(F.col("m") > F.col("k"), F.col("others"))).repartition(F.xxhash64("b", "k", "m"))
-    short = _within(baskets.where(F.size("items") <= CHUNK))
-    return short.unionByName(_within(spread.where("others is null"))).unionByName(_pairs("items", "others", spread.where("others is not null")))
+    one = baskets.select("b", chunks.alias("chunks")).select("b", F.posexplode("chunks").alias("k", "items"), "chunks")
+    met = one.select("b", "k", "items", F.posexplode(F.slice("chunks", F.col("k") + 1, F.size("chunks"))).alias("m", "others"))
+    return _ordered(met.select("items", F.when(F.col("m") > 0, F.col("others")).alias("others"), F.xxhash64("b", "k", "m").alias("h")).repartition("h"))
 
 
 def _chunked(kept: DataFrame) -> DataFrame:
@@ -53,7 +46,9 @@ def _chunked(kept: DataFrame) -> DataFrame:
     long = rows.where("chunks > 1")
     left = long.where("k < chunks - 1").select("b", "k", F.explode(F.sequence(F.col("k") + 1, F.col("chunks") - 1)).alias("m"), "items")
     right = long.where("k > 0").select("b", F.col("k").alias("m"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k"), F.col("items").alias("others"))
-    return _within(rows).unionByName(_pairs("items", "others", left.join(right, ["b", "k", "m"])))
+    x = left.join(right, ["b", "k", "m"]).select(F.explode("items").alias("x"), "others").select("x", F.explode("others").alias("y"))
+    own = _ordered(rows.select("items", F.lit(None).cast("array<string>").alias("others")))
+    return own.unionByName(x.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")))
 
 
 def _bytes(df: DataFrame, basket: str, item: str, share: float) -> float:
