@@ -51,11 +51,10 @@ def _chunked(kept: DataFrame) -> DataFrame:
     return own.unionByName(x.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")))
 
 
-def _bytes(df: DataFrame, basket: str, item: str, share: float) -> float:
-    """Most bytes that the surviving items can have: each stands in a share of all baskets, so that many copies of it are in the bytes of all rows. Baskets are counted to within a few percent, for which twice the result is taken."""
-    rows = df.select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).where("b is not null and i is not null")
-    size = rows.agg(F.sum(F.octet_length("i") + 64).alias("bytes"), F.approx_count_distinct("b").alias("baskets")).first()
-    return 2 * (size["bytes"] or 0) / (share * max(1, size["baskets"]))
+def _totals(rows: DataFrame) -> tuple[int, int]:
+    """Number of baskets, and the bytes of all rows' items."""
+    one = rows.groupBy("b").agg(F.sum(F.octet_length("i") + 64).alias("bytes")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return one["n"], one["bytes"]
 
 
 def item_pairs(
@@ -65,14 +64,16 @@ def item_pairs(
 
     With min_share > 0 at most (mean basket size) / min_share items survive the
     support filter, whatever the data's size: that bounds the length of a basket.
-    The list of surviving items is broadcast only if ``_bytes``, a bound that is
-    taken from the data, is below SMALL; beyond that, and without a support share,
-    it is joined by shuffle.
+    The list of surviving items is broadcast only if it is below SMALL for sure:
+    each of them stands in a share of all baskets, so that many copies of it are
+    in the bytes of all rows.  Beyond that, and without a support share, it is
+    joined by shuffle.  The totals come from a job of their own.
     """
-    hint = F.broadcast if min_share > 0 and _bytes(df, basket, item, min_share) <= SMALL else lambda x: x
-    one = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).distinct()
-    total = one.select("b").distinct().agg(F.count("*")).scalar()
-    counts = one.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") >= min_count).withColumn("n", total)
+    rows = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i"))
+    total, size = _totals(rows)
+    hint = F.broadcast if min_share > 0 and size <= SMALL * min_share * max(1, total) else lambda x: x
+    one = rows.distinct()
+    counts = one.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") >= min_count).withColumn("n", F.lit(total).cast("long"))
     frequent = counts.where(F.col("c") >= min_share * F.col("n"))
     kept = one.join(hint(frequent.select("i")), "i").select("b", "i")
     pairs = (_emitted if min_share > 0 else _chunked)(kept).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
