@@ -15,7 +15,7 @@ basket or not, however often; a basket with one item has no pair but counts in N
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Items of one chunk of a long basket, and bytes of a list of items that is broadcast.
 CHUNK, SMALL = 256, 64 << 20
@@ -47,7 +47,7 @@ def _chunked(kept: DataFrame) -> DataFrame:
     left = long.where("k < chunks - 1").select("b", "k", F.explode(F.sequence(F.col("k") + 1, F.col("chunks") - 1)).alias("m"), "items")
     right = long.where("k > 0").select("b", F.col("k").alias("m"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k"), F.col("items").alias("others"))
     x = left.join(right, ["b", "k", "m"]).select(F.explode("items").alias("x"), "others").select("x", F.explode("others").alias("y"))
-    own = _ordered(rows.select("items", F.lit(None).cast("array<string>").alias("others")))
+    own = _ordered(rows.select("items", F.when(F.lit(False), F.col("items")).alias("others")))
     return own.unionByName(x.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")))
 
 
@@ -71,15 +71,23 @@ def item_pairs(
     """
     rows = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i"))
     total, size = _totals(rows)
-    hint = F.broadcast if min_share > 0 and size <= SMALL * min_share * max(1, total) else lambda x: x
     one = rows.distinct()
-    counts = one.groupBy("i").agg(F.count("*").alias("c")).where(F.col("c") >= min_count).withColumn("n", F.lit(total).cast("long"))
-    frequent = counts.where(F.col("c") >= min_share * F.col("n"))
-    kept = one.join(hint(frequent.select("i")), "i").select("b", "i")
-    pairs = (_emitted if min_share > 0 else _chunked)(kept).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
-    a = hint(frequent.select(F.col("i").alias("item_a"), F.col("c").alias("n_a"), "n"))
-    b = hint(frequent.select(F.col("i").alias("item_b"), F.col("c").alias("n_b")))
-    out = pairs.join(a, "item_a").join(b, "item_b").where(F.col("n_ab") >= min_share * F.col("n"))
+    counts = one.groupBy("i").agg(F.count("*").alias("c")).where((F.col("c") >= min_count) & (F.col("c") >= min_share * total))
+    emitted = _emitted if min_share > 0 else _chunked
+    if min_share > 0 and size <= SMALL * min_share * max(1, total):
+        # a short list, which one task can number in the order of the items; pairs are counted by number
+        counts = F.broadcast(counts.withColumn("k", F.row_number().over(Window.orderBy("i"))))
+        key = F.shiftleft(F.col("item_a").cast("long"), 32).bitwiseOR(F.col("item_b").cast("long"))
+        pairs = emitted(one.join(counts, "i").select("b", F.col("k").alias("i"))).groupBy(key.alias("key")).agg(F.count("*").alias("n_ab"))
+        pairs = pairs.select(F.shiftright("key", 32).cast("int").alias("a"), F.col("key").cast("int").alias("b"), "n_ab")
+        a, b = counts.select(F.col("k").alias("a"), F.col("i").alias("item_a"), F.col("c").alias("n_a")), counts.select(F.col("k").alias("b"), F.col("i").alias("item_b"), F.col("c").alias("n_b"))
+        by = ["a", "b"]
+    else:
+        pairs = emitted(one.join(counts, "i").select("b", "i")).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab"))
+        a, b = counts.select(F.col("i").alias("item_a"), F.col("c").alias("n_a")), counts.select(F.col("i").alias("item_b"), F.col("c").alias("n_b"))
+        by = ["item_a", "item_b"]
+    pairs = pairs.where((F.col("n_ab") >= min_count) & (F.col("n_ab") >= min_share * total)).withColumn("n", F.lit(total).cast("long"))
+    out = pairs.join(a, by[0]).join(b, by[1])
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
     # the threshold is compared in whole numbers when it is one
     reach = F.col("n_ab") * F.col("n") >= F.lit(int(min_lift) if float(min_lift).is_integer() else min_lift) * F.col("n_a") * F.col("n_b")
