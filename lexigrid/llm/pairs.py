@@ -79,7 +79,7 @@ def item_pairs(
         counts = F.broadcast(counts.withColumn("k", F.row_number().over(Window.orderBy("i"))))
         key = F.shiftleft(F.col("item_a").cast("long"), 32).bitwiseOR(F.col("item_b").cast("long"))
         pairs = emitted(one.join(counts, "i").select("b", F.col("k").alias("i"))).groupBy(key.alias("key")).agg(F.count("*").alias("n_ab"))
-        pairs = pairs.select(F.shiftright("key", 32).cast("int").alias("a"), F.col("key").cast("int").alias("b"), "n_ab")
+        pairs = pairs.select(F.shiftright("key", 32).cast("int").alias("a"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n_ab")
         a, b = counts.select(F.col("k").alias("a"), F.col("i").alias("item_a"), F.col("c").alias("n_a")), counts.select(F.col("k").alias("b"), F.col("i").alias("item_b"), F.col("c").alias("n_b"))
         by = ["a", "b"]
     else:
