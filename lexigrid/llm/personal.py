@@ -66,6 +66,9 @@ CHECKED = plain_re.compile(
     r"|(?P<fr>[12] ?\d\d ?(?:0[1-9]|1[0-2]|[2-9]\d) ?(?:\d\d|2[AB]) ?\d{3} ?\d{3} ?\d\d))(?![\w]|[.\-/]\d)"
 )
 
+# A stretch of digits and what may stand between them: the forms above, with up to AROUND characters around it, are looked for there only.
+CLUSTER, AROUND = plain_re.compile(r"[0-9][0-9 .\-/+AB]{4,}[0-9]"), 6
+
 HOUSE = r"\d{1,5}(?:\s?[A-Za-z](?![\p{L}\d])|[\-/]\d{1,4})?"
 WORD = r"[\p{Lu}][\p{L}’'\-]*"
 EN_ADDRESS = re.compile(rf"(?<![\w.\-/+:,]){HOUSE} (?:(?:{WORD}|of|the) ){{1,4}}(?:{EN_WAYS}|(?i:{EN_WAYS}))\b(?![\w_])")
@@ -199,9 +202,16 @@ def _phone(text):
             yield m.start(), m.end(), max(score, THRESHOLD)
 
 
+def _numbers(text, rx, clusters):
+    """Matches of a form around the clusters of digits of a text."""
+    for a, b in clusters:
+        yield from rx.finditer(text, max(0, a - AROUND), min(len(text), b + AROUND))
+
+
 def _ids(text):
+    clusters = [c.span() for c in CLUSTER.finditer(text)]
     for rx, kind in ((SSN, "ssn"), (NINO, "nino"), (CPF, "cpf"), (DNI, "dni"), (OTHER_ID, "other")):
-        for m in rx.finditer(text):
+        for m in _numbers(text, rx, clusters) if kind != "other" else rx.finditer(text):
             s = m[0]
             cue = ID_BEFORE.search(text[max(0, m.start() - BEFORE - 16) : m.start()])
             score = 4.0 if cue else 0.0
@@ -220,7 +230,7 @@ def _ids(text):
                 score -= 0.5
             if score >= THRESHOLD:
                 yield m.start(), m.end(), score + 2
-    for m in CHECKED.finditer(text):
+    for m in _numbers(text, CHECKED, clusters):
         if checked(m.lastgroup, m[0]) and not _COUNTED.search(text[max(0, m.start() - BEFORE) : m.start()]):
             yield m.start(), m.end(), THRESHOLD + 3
 

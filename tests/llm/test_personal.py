@@ -69,6 +69,11 @@ def test_check_digits_decide(number):
     assert [k for _, _, k in find_spans(f"passport number {number[:-1] + other} in it")] == ["id_number"]
 
 
+def test_number_with_letters_in_between():
+    text = "passport no. X4F7G9H2K of the tenant"
+    assert [text[a:b] for a, b, _ in find_spans(text)] == ["X4F7G9H2K"]
+
+
 @pytest.mark.parametrize("name", ["Maria Clara Helena Souza Lima", "Zbigniew Jan Pawel Adam Kowalczyk", "Juan Carlos de la Cruz Romero Ortega"])
 def test_long_names_are_whole(name):
     assert [f"Reported by {name} today."[a:b] for a, b, _ in find_spans(f"Reported by {name} today.")] == [name]
