@@ -75,7 +75,7 @@ EN_ADDRESS = re.compile(rf"(?<![\w.\-/+:,]){HOUSE} (?:(?:{WORD}|of|the) ){{1,4}}
 IB_ADDRESS = re.compile(rf"(?<![\p{{L}}\d_])(?i:{IBERIAN_WAYS})\s?(?:(?i:de|da|do|das|dos|del|la|las|los|el|e|y) |{WORD} ?){{1,7}},?\s?(?i:nº|n\.º|n°|núm\.|num\.|no\.|número|n\.)?\s?{HOUSE}(?![\w]|[.:\-/]\d)")
 DE_ADDRESS = re.compile(rf"(?<![\w\-])(?:(?:(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter|Bei|Alte[rn]?|Neue[rn]?|Große[rn]?|Kleine[rn]?|Obere[rn]?|Untere[rn]?|der|dem|den|{WORD}) ){{0,3}})?(?:[\p{{Lu}}][\p{{L}}\-]*(?:{DE_WAYS})|[\p{{Lu}}]+(?i:{DE_WAYS})) {HOUSE}(?![\w]|[.:\-/]\d)")
 # what an address of the kind must contain, in lower case
-IB_WORDS = [w.lower().replace("\\", "") for w in IBERIAN_WAYS.split("|")]
+IB_WORDS = plain_re.compile(IBERIAN_WAYS.lower())
 DE_WORDS = [w.lower().replace("\\", "") + " " for w in DE_WAYS.split("|")]
 ADDRESS_BEFORE = re.compile(r"(?:\b(?:address|adresse|anschrift|dirección|direccion|endereço|endereco|domicilio|domicílio|morada|lives at|living at|mora (?:na|no|em)|vive en|wohnt|ship to|deliver to|entregar em|enviar a|lieferung an|lieferung|the tenant at|resides at|reside en|reside na|located at|visit)\b[\s:=\"']{0,4}(?:in der |an der |am |im )?|address\w*['\" ]{0,2}(?:=|:)\s?['\"])$", re.I)
 
@@ -235,14 +235,23 @@ def _ids(text):
             yield m.start(), m.end(), THRESHOLD + 3
 
 
+def _iberian(text, low):
+    """Matches of IB_ADDRESS, tried where one of its words begins."""
+    end = 0
+    for w in IB_WORDS.finditer(low):
+        if w.start() >= end and (m := IB_ADDRESS.match(text, w.start())):
+            end = m.end()
+            yield m
+
+
 def _address(text):
     low = text.lower()
-    for rx, words, need in ((EN_ADDRESS, None, 3.0), (IB_ADDRESS, IB_WORDS, 3.0), (DE_ADDRESS, DE_WORDS, 3.0)):
-        if words and not any(w in low for w in words):
-            continue
-        for m in rx.finditer(text):
-            score = need + (2 if ADDRESS_BEFORE.search(text[max(0, m.start() - BEFORE) : m.start()]) else 0)
-            yield m.start(), m.end(), score + 1
+    found = [*EN_ADDRESS.finditer(text)]
+    # letters whose lower case has another length shift the places
+    found += _iberian(text, low) if len(low) == len(text) else IB_ADDRESS.finditer(text)
+    found += DE_ADDRESS.finditer(text) if any(w in low for w in DE_WORDS) else []
+    for m in found:
+        yield m.start(), m.end(), 4.0 + (2 if ADDRESS_BEFORE.search(text[max(0, m.start() - BEFORE) : m.start()]) else 0)
 
 
 def _name(text):
