@@ -154,8 +154,9 @@ def i1_refresh(spark: SparkSession, d: str) -> DataFrame:
     q = cat.queries(spark, d).select("project", "rel_path", "id", "title", "description", "body", "file_mtime")
     new = q.where("id % 10 <> 0").withColumns({"file_mtime": F.expr(_TIMES), "body": F.expr(_BODIES)})
     store = Store(spark, shared_folder(spark))
-    index.rebuild(store, TableFiles(as_files(q.where("id % 7 <> 3"))))
-    index.refresh(store, TableFiles(as_files(new)))
+    projects = sorted(r[0] for r in q.select("project").distinct().collect())
+    index.rebuild(store, TableFiles(as_files(q.where("id % 7 <> 3")), projects))
+    index.refresh(store, TableFiles(as_files(new), projects))
     return store.read("queries").select("project", "rel_path", "file_mtime", F.md5("body").alias("body"))
 
 

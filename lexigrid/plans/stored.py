@@ -27,11 +27,10 @@ def stored(spark: SparkSession, d: str) -> Catalog:
 
 
 class TableFiles:
-    """Rows of a table as files: project, rel_path, file_mtime, file_size, content."""
+    """Rows of a table as files: project, rel_path, file_mtime, file_size, content. A project may have lost all its files."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
-        self.projects = sorted(r[0] for r in rows.select("project").distinct().collect())
+    def __init__(self, rows: DataFrame, projects: list[str]):
+        self.rows, self.projects = rows, projects
 
     def listed(self) -> DataFrame:
         return self.rows.select("project", "rel_path", "file_mtime", "file_size")
