@@ -10,11 +10,11 @@ from ..sources.shared import shared_folder
 from ..sources.store import Store
 from . import catalog as cat
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, str], Catalog] = {}
 
 
 def stored(spark: SparkSession, d: str) -> Catalog:
-    """The catalog as index that was written to the shared folder; a session writes it once for each set of tables."""
+    """The catalog as index that was written to the shared folder; a session writes and opens it once for each set of tables."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         store = Store(spark, shared_folder(spark))
@@ -22,8 +22,8 @@ def stored(spark: SparkSession, d: str) -> Catalog:
         tables = {"queries": q, "favorites": cat.favorites(spark, d), "fts": cat.fts(spark, d)}
         tables |= {"query_tags": cat.with_project(spark, d, cat.links(spark, d)), "query_objects": cat.with_project(spark, d, cat.objects(spark, d))}
         index.publish(store, tables)
-        _BUILT[key] = store.root
-    return index.catalog(Store(spark, _BUILT[key]))
+        _BUILT[key] = index.catalog(store)
+    return _BUILT[key]
 
 
 class TableFiles:
