@@ -326,6 +326,11 @@ def extracted(bodies):
 extracted = extracted.asNondeterministic()
 
 
+def live_objects(queries: DataFrame) -> DataFrame:
+    """project, id and a sorted array for each type of names, read again from the bodies: aliases aren't stored, so an opened file gets them this way."""
+    return queries.select("project", "id", extracted("body").alias("o")).select("project", "id", "o.*")
+
+
 def objects_text(objects: Column) -> Column:
     """All names, type by type in order, joined by one blank: the text that full-text search sees."""
     return F.array_join(F.concat(*[F.array_sort(objects[k]) for k in OBJECTS.names]), " ")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as fx
 from ..operators import collections as coll, fts, index, search
-from ..operators.objects import extracted, object_rows, objects_text
+from ..operators.objects import extracted, live_objects, object_rows, objects_text
 from ..sources.files import content_hash, folders, parsed
 from ..sources.shared import shared_folder
 from ..sources.store import Store
@@ -116,6 +116,13 @@ def x_object_rows(spark: SparkSession, d: str) -> DataFrame:
     return object_rows(spread(table(spark, d, "queries").select("project", "id", "body")).select("project", "id", extracted("body").alias("objects")))
 
 
+@query()
+def x9_live_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases of each file, which the index doesn't keep."""
+    out = live_objects(spread(table(spark, d, "queries").select("project", "id", "body")))
+    return out.select("id", F.array_join("alias", " ").alias("aliases")).dropDuplicates(["id"])
+
+
 # -- index maintenance ----------------------------------------------------------------
 _OLD = "(SELECT project, rel_path, id, file_mtime, content_hash FROM q WHERE id % 7 <> 3)"
 _NEW = "(SELECT project, rel_path, id, CASE WHEN id % 10 < 3 THEN file_mtime + 60 ELSE file_mtime END AS file_mtime, CASE WHEN id % 10 = 1 THEN 'changed' ELSE content_hash END AS content_hash FROM q WHERE id % 10 <> 0)"

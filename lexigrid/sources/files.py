@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import stored_tags
+from ..functions.text import PARAM, stored_tags
 from ..schemas import FILES, LISTED
 from .ship import ship
 
@@ -269,6 +269,31 @@ def new_file(folder: str, title: str, description: str = "", tags: list[str] | N
     return path
 
 
+def fill(body: str, values: dict[str, str]) -> str:
+    """A template with the values of its {{name}} parameters; names without a value stay, and values aren't expanded again."""
+    return re.sub(PARAM, lambda m: values.get(m[1], m[0]), body)
+
+
+def from_template(folder: str, title: str, template: str, values: dict[str, str], tags: str = "", today: datetime.date | None = None) -> str:
+    """Create a file, and its folder, from a template; tags are parted by commas. A title or a template that is blank is a ValueError."""
+    if not title.strip() or not template:
+        raise ValueError("a title and a template are needed")
+    os.makedirs(folder, exist_ok=True)
+    parted = [t.strip().lower() for t in tags.split(",")]
+    return new_file(folder, title.strip(), "", [t for t in parted if t], fill(template, values), today)
+
+
+# Fixed value: the keys of an empty front matter, in order.
+SKELETON = ("title", "description", "tags", "created", "updated")
+
+
+def skeleton(today: datetime.date | None = None) -> str:
+    """An empty front matter with today's date, to be filled in by hand."""
+    day = (today or datetime.date.today()).isoformat()
+    blank = {"tags": "\n  - ", "created": f" {day}", "updated": f" {day}"}
+    return "\n".join(["/* ---", *(f"{k}:{blank.get(k, ' ')}" for k in SKELETON), "--- */"])
+
+
 def duplicate(path: str, title: str, today: datetime.date | None = None) -> str:
     """Copy of a file beside it: same metadata, new title, created and updated today."""
     with open(path, "rb") as f:

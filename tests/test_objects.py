@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexigrid.operators.objects import dedupe, extract, extracted, object_rows, objects_text
+from lexigrid.operators.objects import dedupe, extract, extracted, live_objects, object_rows, objects_text
 
 CASES = [
     # plain lists, schemas, aliases
@@ -62,6 +62,12 @@ def test_rows_and_text(spark):
     assert texts == ["Alpha Zebra ID Id b x", ""]
 
 
+def test_live_objects(spark):
+    df = spark.createDataFrame([("p", 1, "SELECT v.a FROM Vessels v"), ("p", 2, None)], "project string, id long, body string")
+    got = {r["id"]: (r["table"], r["alias"]) for r in live_objects(df).collect()}
+    assert got == {1: (["Vessels"], ["v"]), 2: ([], [])}
+
+
 def test_dedupe_folds_ascii_only(spark):
     rows = [(1, "table", "Ágil"), (1, "table", "ágil"), (1, "table", "b"), (1, "table", "B"), (1, "alias", "x"), (1, "table", None)]
     got = dedupe(spark.createDataFrame(rows, "query_id long, object_type string, object_name string"), ["query_id"])
