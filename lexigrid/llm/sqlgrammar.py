@@ -140,6 +140,30 @@ def tokens(text: str, dialect: str) -> tuple[list[str], list[str]]:
     return out, src
 
 
+# Tokens that all dialects read alike; a text with any other has to be read by each.
+_ALIKE = re.compile(
+    f"(?:[{BLANK}]++|--[^\\r\\n]*+|/\\*(?:[^*/]|\\*(?!/)|/(?!\\*))*+\\*/)*+(?:(?P<word>[^\\W\\d]\\w*+(?![$#@']))|(?P<op>[(),;]|\\.(?![\\d.])|(?:<=|>=|<>|!=|[-+*/=<>])(?![-+*/=<>~!@#%^&|`?]))"
+    "|(?P<text>'(?:[^']|'')*+')|(?P<name>\"(?:[^\"]|\"\")++\")|(?P<num>(?:\\d++(?:\\.\\d*+)?|\\.\\d++)(?:[eE][+-]?\\d++)?(?![\\w.$])))"
+)
+_ALIKE_END = re.compile(f"(?:[{BLANK}]++|--[^\\r\\n]*+|/\\*(?:[^*/]|\\*(?!/)|/(?!\\*))*+\\*/)*+")
+
+
+def common_tokens(text: str) -> tuple[list[str], list[str]] | None:
+    """The tokens of a text that every dialect reads alike; None if it isn't such a text."""
+    if CONFLICT.search(text) or _GO_LINE.search(text):
+        return None
+    out, src, at = [], [], 0
+    for m in _ALIKE.finditer(text):
+        if m.start() != at:
+            return None
+        at = m.end()
+        kind = m.lastgroup
+        s = m[kind]
+        out.append(s.upper() if kind == "word" else s if kind == "op" else _MARK[kind])
+        src.append(s)
+    return (out, src) if _ALIKE_END.match(text, at).end() == len(text) else None
+
+
 def _operator(s: str) -> str:
     """The PostgreSQL operator that a run of signs begins with: comments end it, and a trailing sign is another one."""
     if "--" in s or "/*" in s:
@@ -2000,15 +2024,15 @@ class _Parser(Definitions):
                     self.fail()
 
 
-def check(text: str | None, dialect: str) -> tuple[bool, str, float]:
-    """(valid, reason, share of the tokens that were read before the error).
+def check(text: str | None, dialect: str, known: tuple[list[str], list[str]] | None = None) -> tuple[bool, str, float]:
+    """(valid, reason, share of the tokens that were read before the error); known are the text's ``common_tokens``.
 
     Null, empty and comment-only texts are valid.  An unknown dialect raises KeyError.
     """
     if not text:
         return True, "", 1.0
     try:
-        toks, src = tokens(text, dialect)
+        toks, src = known or tokens(text, dialect)
     except Invalid as e:
         return False, e.args[0], 0.0
     try:

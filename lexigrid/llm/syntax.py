@@ -27,7 +27,7 @@ from xml.parsers import expat
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.spread import spread
-from .sqlgrammar import BLANK, CONFLICT, DIALECTS, check
+from .sqlgrammar import BLANK, CONFLICT, DIALECTS, check, common_tokens
 
 # Words and other tokens, in lower case, that speak for a language; each distinct one counts one.
 EVIDENCE = {
@@ -171,10 +171,10 @@ _EMPTY = re.compile(f"[{BLANK}]*")
 
 def accepted(text: str, order: list[str]) -> tuple[list[str], dict[str, str]]:
     """Languages whose grammars accept the text, in the order of the ranking, and why the SQL dialects among the others don't."""
-    out, why = [], {}
+    out, why, known = [], {}, common_tokens(text)
     for k in order:
         if k in DIALECTS:
-            valid, reason, _ = check(text, k)
+            valid, reason, _ = check(text, k, known)
             if not valid:
                 why[k] = reason
         else:

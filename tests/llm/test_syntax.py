@@ -5,7 +5,7 @@ import sqlite3
 
 import pytest
 
-from lexigrid.llm.sqlgrammar import check, tokens
+from lexigrid.llm.sqlgrammar import check, common_tokens, tokens
 from lexigrid.llm.syntax import diagnose, invalid_files, invalid_rates, rank
 
 T, P, S = "tsql", "postgres", "sqlite"
@@ -204,6 +204,19 @@ def test_rank_and_unknown_dialect():
     assert diagnose("SELECT 1 LIMIT 2", None)[0] and not diagnose("SELECT 1 FROM", "mystery")[0] and diagnose(None, None)[0]
 
 
+def test_common_tokens_are_those_of_each_dialect():
+    r = random.Random(6)
+    parts = ["a", "t1", "N", "x", " ", "\n", "'it''s'", "\"q\"", "1", "1.5", ".5", "1e3", "1.", "..", "-", "--c\n", "/* c */", "/* /* */", "=", "<>", "!=", "<", ">", "+", "*", "/", "(", ")", ",", ";", "$", "@v", "#t", "GO\n", "é", "_", "[b]", "::", "\u00a0"]
+    n = 0
+    for _ in range(30000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        known = common_tokens(text)
+        if known:
+            n += 1
+            assert all(tokens(text, d) == known for d in (T, P, S)), text
+    assert n > 3000
+
+
 def test_every_grammar_is_tried():
     """Also of valid files, and of languages without a token of theirs."""
     assert diagnose("SELECT a FROM t", T) == (True, "", T, [P, S, T]) and diagnose("SELECT a FROM t LIMIT 1", S)[3] == [P, S]
