@@ -230,7 +230,7 @@ def _excess(text: str, cost: float) -> float:
 def _unswap(text: str, wrong: str, meant: str) -> tuple[str, int]:
     """The text with each line swapped that was misread as a whole, else each word of it that was, and how many characters those held.
 
-    A run counts when its own cost drops by 1 and its result is plain; a word must also hold an ASCII letter and give letters only.
+    A run counts when its own cost drops by 1 and its result is plain; a word must also give letters only, and hold an ASCII letter or be a Cyrillic word.
     """
     covered = 0
 
@@ -247,7 +247,10 @@ def _unswap(text: str, wrong: str, meant: str) -> tuple[str, int]:
         if _excess(a + run + b, garbling_cost(a + run + b)) < 1:
             return run
         new = better(run, a, b)
-        if not new or not any(c.isalpha() and c < "\x80" for c in run) or not all(c.isalpha() for c in NON_ASCII.findall(new)):
+        letters = NON_ASCII.findall(new or "")
+        if not new or not all(c.isalpha() for c in letters):
+            return run
+        if not any(c.isalpha() and c < "\x80" for c in run) and not (len(letters) > 3 and all(_script(c) == "CYRILLIC" for c in letters)):
             return run
         covered += len(run)
         return new

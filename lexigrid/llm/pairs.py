@@ -38,11 +38,16 @@ def _emitted(kept: DataFrame) -> DataFrame:
     return _ordered(met.select("items", F.when(F.col("m") > 0, F.col("others")).alias("others"), F.xxhash64("b", "k", "m").alias("h")).repartition("h"))
 
 
-def _chunked(kept: DataFrame) -> DataFrame:
-    """The same without a bound on a basket: items go to chunks of their basket by hash, and chunks meet each other by a join on basket and both chunks."""
+def _chunks(kept: DataFrame) -> DataFrame:
+    """b, chunks, k, items: the items of each basket by hash in as many chunks as it needs."""
     sizes = kept.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").select("b", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     placed = kept.join(sizes, "b").select("b", "i", "chunks", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int").alias("k"))
-    rows = placed.groupBy("b", "chunks", "k").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    return placed.groupBy("b", "chunks", "k").agg(F.array_sort(F.collect_list("i")).alias("items"))
+
+
+def _chunked(kept: DataFrame) -> DataFrame:
+    """All pairs without a bound on a basket: chunks meet each other by a join on basket and both chunks."""
+    rows = _chunks(kept)
     long = rows.where("chunks > 1")
     left = long.where("k < chunks - 1").select("b", "k", F.explode(F.sequence(F.col("k") + 1, F.col("chunks") - 1)).alias("m"), "items")
     right = long.where("k > 0").select("b", F.col("k").alias("m"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k"), F.col("items").alias("others"))

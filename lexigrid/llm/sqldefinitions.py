@@ -238,8 +238,8 @@ class Definitions:
             self.altered(kind)
         elif kind in RARE[self.d]:
             self.any_word() if not self.at("(", "'") else None
-            if not self.ends() or kind in ("DATABASE", "LANGUAGE"):
-                self.ends() or self.rest_of(first)
+            if not self.at("", ";", "\n") and not (self.ts and self.begins_statement(first)):
+                self.rest_of(first)
         else:
             self.i -= 1
             self.fail()
