@@ -116,6 +116,22 @@ def x_object_rows(spark: SparkSession, d: str) -> DataFrame:
     return object_rows(spread(table(spark, d, "queries").select("project", "id", "body")).select("project", "id", extracted("body").alias("objects")))
 
 
+_BOTH = "(SELECT query_id FROM objs WHERE object_type = 'table') INTERSECT (SELECT query_id FROM objs WHERE object_type = 'column')"
+
+
+@query(f"SELECT query_id, object_type, object_key, object_name FROM objs WHERE object_type IN ('table', 'column') AND query_id IN ({_BOTH})")
+def x1_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are written into a query as quoted tables, with schemas and aliases in turn, and as columns come out of it again."""
+    names = cat.objects(spark, d).where(F.col("object_type").isin("table", "column"))
+    quoted = F.concat(F.lit("["), F.replace("object_name", F.lit("]"), F.lit("]]")), F.lit("]"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("object_type") == kind, quoted)))
+    rows = names.groupBy("query_id").agg(of("table").alias("t"), of("column").alias("c")).where("size(t) > 0 AND size(c) > 0")
+    form = lambda t, i: F.when(i % 3 == 0, t).when(i % 3 == 1, F.concat(F.lit("dbo."), t)).otherwise(F.concat(t, F.lit(" AS x"), i.cast("string")))
+    body = F.concat(F.lit("SELECT "), F.array_join("c", ", "), F.lit(" FROM "), F.array_join(F.transform("t", form), " CROSS JOIN "))
+    out = rows.select(F.lit("").alias("project"), F.col("query_id").alias("id"), extracted(body).alias("objects"))
+    return object_rows(out).select("query_id", "object_type", "object_key", "object_name")
+
+
 @query()
 def x9_live_aliases(spark: SparkSession, d: str) -> DataFrame:
     """Aliases of each file, which the index doesn't keep."""
