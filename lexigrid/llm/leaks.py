@@ -135,7 +135,10 @@ class Index:
 
     def find(self, text: str | None) -> list[int]:
         """Ids of the items of which the text holds ``words`` successive words."""
-        w = words_of(text)
+        return self.find_in(words_of(text))
+
+    def find_in(self, w: list[str]) -> list[int]:
+        """The same for the words of a text."""
         n, hit = self.words, set()
         if len(w) < n or not self.ids:
             return []
@@ -164,23 +167,32 @@ class Index:
                     hit.update(k for k in own if k in hot)
 
 
+# Fixed value: blocks of items that one pass over the documents looks for.
+AT_ONCE = 4
+
+
 def leaked(docs: DataFrame, items: DataFrame, words: int = 12, max_items: int = 20_000, max_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id: one row per document and item of which it holds ``words`` successive words.
 
     The index of the items is broadcast.  Test sets are small by nature; their
     size is checked: beyond max_items or max_chars the items are indexed in
-    blocks, with one pass over the documents for each block.
+    blocks, and a pass over the documents, which reads the words of each once,
+    serves AT_ONCE of them.
     """
     spark = docs.sparkSession
     rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
     parts = max(1, -(-size["n"] // max_items), -(-size["c"] // max_chars))
     found, docs = None, spread(docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    for part in range(parts):
+
+    def index_of(part: int):
         block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        index = spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in block.toLocalIterator()), words))
+        return spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in block.toLocalIterator()), words))
+
+    for first in range(0, parts, AT_ONCE):
+        indexes = [index_of(part) for part in range(first, min(parts, first + AT_ONCE))]
 
-        def hits(batches, index=index):
+        def hits(batches, indexes=indexes):
             import pandas as pd
 
             for batch in batches:
@@ -188,7 +200,8 @@ def leaked(docs: DataFrame, items: DataFrame, words: int = 12, max_items: int =
                 out = []
                 for i, t in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
                     if t not in seen:
-                        seen[t] = index.value.find(t)
+                        w = words_of(t)
+                        seen[t] = [k for index in indexes for k in index.value.find_in(w)]
                     out += [(i, k) for k in seen[t]]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
