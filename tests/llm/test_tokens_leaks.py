@@ -89,6 +89,7 @@ def test_leaks(spark, seed):
         its = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(99, None), (0, " ".join(items[0][1]))], "item_id long, text string")
         assert {tuple(r) for r in leaks.leaked(df, its).collect()} == want
         assert {tuple(r) for r in leaks.leaked(df, its, max_items=15).collect()} == want  # indexed in blocks
+        assert {tuple(r) for r in leaks.leaked(df, its, max_items=4).collect()} == want  # and in several passes
         assert leaks.leaked(df.limit(0), its).count() == 0 and leaks.leaked(df, its.limit(0)).count() == 0
 
 
